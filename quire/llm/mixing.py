@@ -33,7 +33,11 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= total:
         taken = c.copy()
     else:
-        taken = np.zeros(len(n), np.int64) if budget <= REACH else (c * ((budget - REACH // 2) / total)).astype(np.int64)
+        keep = min(REACH // 2, budget // 16 + 4 * (total // int(c.sum())))
+        share = max(0, budget - keep) / total
+        taken = np.diff(np.floor(np.cumsum(c * share)).astype(np.int64), prepend=0)  # rounding errors carry on to the next length
+        while int((n * taken).sum()) > budget:
+            taken[np.flatnonzero(taken)[0]] -= 1
         rest = budget - int((n * taken).sum())
         for k in range(len(n)):
             if rest <= REACH:
