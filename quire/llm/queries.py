@@ -7,19 +7,36 @@ from pyspark.sql import functions as F
 
 from quire.llm.mixing import mix, source_name
 from quire.llm.packing import pack
+from quire.llm.pairs import defective_pairs
+from quire.llm.scans import find_noise, repair_noise
 from quire.llm.splitting import split_oversized
+from quire.llm.subjects import document_subjects
 from quire.llm.tokenizer import token_counts
 from quire.llm.topn import top_n
 from quire.session import table
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record_table, record_id, book_id, text of chunks and parsed books."""
-    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("record_id"), "book_id", "text")
-    parsed = table(spark, sf_dir, "parsed_books").select(F.lit("parsed_books").alias("record_table"), F.col("path").alias("record_id"), "book_id", F.col("markdown").alias("text"))
+    """record_table, record_id, book_id, title, text of chunks and parsed books."""
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("record_id"), "book_id", F.col("section").alias("title"), "text")
+    parsed = table(spark, sf_dir, "parsed_books").select(F.lit("parsed_books").alias("record_table"), F.col("path").alias("record_id"), "book_id", "title", F.col("markdown").alias("text"))
     return chunks.unionByName(parsed)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_noise(records(spark, sf_dir))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as continuous paragraphs."""
+    return repair_noise(records(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "worker_results", "result_id", "run_id", "task", "output")
+    return defective_pairs(results, table(spark, sf_dir, "tasks", "run_id", "task", "input"))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of oversized texts."""
     books = table(spark, sf_dir, "books", "book_id", "chunk_profile", "added_at")
@@ -66,11 +83,29 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_subjects(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "subject_samples"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and sentences of the corpus per subject."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_found": p7_found,
     "p8_packed": p8_packed,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
