@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.mixing import mix, source_name
+from quire.llm.neardup import groups, near_copies, pairs_of
 from quire.llm.packing import pack
 from quire.llm.pairs import defective_pairs
 from quire.llm.scans import find_noise, repair_noise
@@ -48,6 +49,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece = 2").select("record_table", "record_id")
 
 
+def _chunk_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "chunks", "chunk_id", "text").withColumnRenamed("chunk_id", "ident")
+    return near_copies(texts, size=3, threshold=0.6)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(*_chunk_copies(spark, sf_dir)).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every chunk."""
+    return groups(*_chunk_copies(spark, sf_dir)).withColumnRenamed("ident", "chunk_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "search_hits", "book_id", "section", "chunk_id", "score").where("score > 0")
     best = top_n(hits.withColumn("section", F.coalesce("section", F.lit(""))), ["book_id", "section"], "chunk_id", "score", 5)
@@ -102,6 +117,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p8_packed": p8_packed,
     "p9_mixture": p9_mixture,
