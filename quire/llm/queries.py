@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.mixing import mix, source_name
 from quire.llm.neardup import groups, near_copies, pairs_of
+from quire.llm.neighbours import graph_search, nearest, neighbour_graph
 from quire.llm.packing import pack
 from quire.llm.pairs import defective_pairs
 from quire.llm.scans import find_noise, repair_noise
@@ -49,6 +50,33 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece = 2").select("record_table", "record_id")
 
 
+def _close_chunks(spark: SparkSession, sf_dir: str, least: float, keep: int = 8) -> DataFrame:
+    vectors = table(spark, sf_dir, "chunks", "chunk_id", "vector").withColumnRenamed("chunk_id", "ident")
+    members, _, edges = neighbour_graph(vectors, dim=64, least=least, keep=keep)
+    return nearest(members, edges, 5)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least 0.9; similarities under a half lead to none and are not followed."""
+    close = _close_chunks(spark, sf_dir, 0.5).where("similarity >= 0.9")
+    return close.select(F.least("ident", "other").alias("chunk_a"), F.greatest("ident", "other").alias("chunk_b")).distinct()
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other chunks of every chunk."""
+    return _close_chunks(spark, sf_dir, -1.0, 16).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
+
+
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every fiftieth row of embeddings, among all rows, by greedy graph search."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("ident"), F.col("embedding").alias("vector"))
+    members, nodes, edges = neighbour_graph(vectors, dim=64, keep=16)
+    asked = members.where("cast(ident as bigint) % 50 = 0").join(nodes, "node").select(F.col("ident").cast("bigint").alias("query"), "vec")
+    found = graph_search(asked, nodes, edges, k=11).join(members, "node").where("cast(ident as bigint) <> query")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), F.col("ident").cast("bigint")))
+    return found.select(F.col("query").alias("vec_id"), place.alias("place"), F.col("ident").cast("bigint").alias("near_id"), F.round("sim", 6).alias("similarity")).where("place <= 10")
+
+
 def _chunk_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = table(spark, sf_dir, "chunks", "chunk_id", "text").withColumnRenamed("chunk_id", "ident")
     return near_copies(texts, size=3, threshold=0.6)
@@ -117,6 +145,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
+    "p5_search": p5_search,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,

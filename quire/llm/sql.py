@@ -30,7 +30,7 @@ SELECT book_id, section, CAST(place AS INTEGER) AS place, chunk_id FROM ranked W
 P6_FOUND = r"""
 WITH once AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
 words AS (SELECT chunk_id, regexp_extract_all(lower(text), '[0-9a-z가-힣]+') AS w FROM once),
-sets AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) > 2),
+sets AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) > 2),
 sizes AS (SELECT chunk_id, count(*) AS n FROM sets GROUP BY 1),
 common AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
 SELECT chunk_a, chunk_b FROM common c JOIN sizes x ON x.chunk_id = c.chunk_a JOIN sizes y ON y.chunk_id = c.chunk_b
