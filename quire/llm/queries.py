@@ -50,21 +50,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece = 2").select("record_table", "record_id")
 
 
-def _close_chunks(spark: SparkSession, sf_dir: str, least: float, keep: int = 8) -> DataFrame:
+def _close_chunks(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     vectors = table(spark, sf_dir, "chunks", "chunk_id", "vector").withColumnRenamed("chunk_id", "ident")
-    members, _, edges = neighbour_graph(vectors, dim=64, least=least, keep=keep)
+    members, _, edges = neighbour_graph(vectors, dim=64, **how)
     return nearest(members, edges, 5)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of at least 0.9; similarities under a half lead to none and are not followed."""
-    close = _close_chunks(spark, sf_dir, 0.5).where("similarity >= 0.9")
+    """Pairs of at least 0.9; similarities far below lead to few of them and are not followed."""
+    close = _close_chunks(spark, sf_dir, least=0.6).where("similarity >= 0.9")
     return close.select(F.least("ident", "other").alias("chunk_a"), F.greatest("ident", "other").alias("chunk_b")).distinct()
 
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar other chunks of every chunk."""
-    return _close_chunks(spark, sf_dir, -1.0, 16).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
+    return _close_chunks(spark, sf_dir, keep=16, leaf=1200, trees=8).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
 
 
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
