@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.plans import pages
+from quire.plans import corpus, pages
+from quire.streaming import accumulate
 
-MODULES = (pages,)
+MODULES = (corpus, pages, accumulate)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
