@@ -49,7 +49,7 @@ def promoted_headings(text: Column) -> Column:
 
 def looks_scanned(text: Column, pages: Column) -> Column:
     """Less than 150 characters a page; false when the number of pages is not known."""
-    return F.coalesce((pages > 0) & (F.length(F.trim(F.coalesce(text, F.lit("")))) < 150 * pages), F.lit(False))
+    return F.coalesce((pages > 0) & (F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")) < 150 * pages), F.lit(False))
 
 
 def sections(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -63,8 +63,8 @@ def sections(docs: DataFrame, ident: str, text: str) -> DataFrame:
     upto = Window.partitionBy("ident").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("ord", F.count("head").over(upto)).withColumn("section", F.coalesce(F.last("head", ignorenulls=True).over(upto), F.lit("")))
     body = rows.where("head is null").groupBy("ident", "ord", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    body = body.where(F.trim(F.regexp_replace("body", r"\s+", " ")) != "")
-    whole = docs.select(F.col(ident).alias("ident"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("section"), F.col(text).alias("body")).where(F.trim(F.coalesce("body", F.lit(""))) != "")
+    body = body.where(F.col("body").rlike(r"\S"))
+    whole = docs.select(F.col(ident).alias("ident"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("section"), F.col(text).alias("body")).where(F.col("body").rlike(r"\S"))
     return body.unionByName(whole.join(body.select("ident").distinct(), "ident", "left_anti")).select("ident", "section", "ord", "body")
 
 

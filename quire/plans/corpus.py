@@ -261,16 +261,16 @@ SELECT book_id, number, CASE WHEN t = '' THEN heading ELSE t END AS title FROM t
 SELECT path, md5(array_to_string(list_filter(list_transform(string_split_regex(markdown, '\r?\n'), lambda x: trim(regexp_replace(regexp_replace(x, '/H[0-9]+', ' ', 'g'), '\s+', ' ', 'g'))),
   lambda x: x <> '' AND NOT (starts_with(x, '#') AND NOT regexp_matches(x, '[A-Za-z0-9]'))), chr(10))) AS digest
 FROM (SELECT DISTINCT path, markdown FROM parsed_books) WHERE markdown IS NOT NULL""",
-    "scanned_pages": "SELECT path, coalesce(pages > 0 AND length(trim(coalesce(markdown, ''))) < 150 * pages, false) AS scanned FROM (SELECT DISTINCT path, markdown, pages FROM parsed_books)",
+    "scanned_pages": r"SELECT path, coalesce(pages > 0 AND length(regexp_replace(coalesce(markdown, ''), '^\s+|\s+$', '', 'g')) < 150 * pages, false) AS scanned FROM (SELECT DISTINCT path, markdown, pages FROM parsed_books)",
     "page_sections": r"""
 WITH docs AS (SELECT DISTINCT path AS ident, markdown FROM parsed_books),
 rows AS (SELECT ident, unnest(string_split_regex(coalesce(markdown, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(markdown, ''), '\r?\n'), 1) AS pos FROM docs),
 marked AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN regexp_extract(line, '^#{1,6}\s+(.+?)\s*$', 1) END AS head FROM rows),
 carried AS (SELECT *, count(head) OVER w AS ord, coalesce(last_value(head IGNORE NULLS) OVER w, '') AS section FROM marked WINDOW w AS (PARTITION BY ident ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 bodies AS (SELECT ident, section, ord, string_agg(line, chr(10) ORDER BY pos) AS body FROM carried WHERE head IS NULL GROUP BY 1, 2, 3),
-kept AS (SELECT * FROM bodies WHERE trim(regexp_replace(body, '\s+', ' ', 'g')) <> '')
+kept AS (SELECT * FROM bodies WHERE regexp_matches(body, '\S'))
 SELECT ident, section, ord, md5(body) AS digest FROM kept
-UNION ALL SELECT ident, '', 0, md5(markdown) FROM docs WHERE trim(coalesce(markdown, '')) <> '' AND ident NOT IN (SELECT ident FROM kept)""",
+UNION ALL SELECT ident, '', 0, md5(markdown) FROM docs WHERE regexp_matches(coalesce(markdown, ''), '\S') AND ident NOT IN (SELECT ident FROM kept)""",
     "dollar_balance": r"SELECT chunk_id, CAST(len(regexp_extract_all(regexp_replace(text, '\\\$', '', 'g'), '\$')) AS INTEGER) AS dollars FROM (SELECT DISTINCT chunk_id, text FROM chunks) WHERE text IS NOT NULL",
     "word_signatures": r"""
 SELECT chunk_id, md5(array_to_string(regexp_extract_all(regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$', ' ', 'g'), '\$[^$\n]*\$', ' ', 'g'), '[0-9A-Za-z가-힣]+'), ' ')) AS digest
