@@ -9,7 +9,7 @@ kept in a table of fixed size; counts that share a slot only make the order less
 In a part, leaves hold nodes with equal least and greatest hash: a leaf keeps the union (OR) and the common bits (AND) of its
 token bitmaps and the range of its sizes. Pairs of leaves under a token are pruned by the greatest overlap that
 sizes and bitmaps allow, then the pairs of nodes below them, and what is left is checked on the full sets. A
-token in more texts than HEAVY is spread over a grid of cells, so that no task meets all texts under it.
+token in more texts than `heavy` is spread over a grid of cells, so that no task meets all texts under it.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def prefix(size: int, t: float) -> tuple[int, int]:
     return size - int(np.ceil(t * size - eps)) + 1, size - int(np.ceil(2 * t / (1 + t) * size - eps)) + 1
 
 
-def _pack(size: int, t: float, shared, keys: list[int]):
+def _pack(size: int, t: float, shared, keys: list[int], most: int = HEAVY):
     """Nodes of a batch with their postings, as one block per part: (key, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +159,9 @@ def _pack(size: int, t: float, shared, keys: list[int]):
             token, count, flag = every[order][keep], count[order][keep], (rank < indexed)[keep]
             owner = owner[keep]
             cells = [(token, owner, flag)]
-            if (heavy := count > HEAVY).any():  # cell (i, j) of a heavy token: nodes of either block
+            if (heavy := count > most).any():  # cell (i, j) of a heavy token: nodes of either block
                 cells = [(token[~heavy], owner[~heavy], flag[~heavy])]
-                for grid in np.unique(side := -(-count[heavy] // HEAVY)).tolist():
+                for grid in np.unique(side := -(-count[heavy].astype(np.int64) // most)).tolist():
                     at = np.flatnonzero(heavy)[side == grid]
                     mine = (nodes["node"][owner[at]].view(np.uint64) % np.uint64(grid)).astype(np.int64)
                     for other in range(grid):
@@ -394,7 +394,7 @@ def part_keys(df: DataFrame, parts: int) -> list[int]:
     return [r["id"] for r in spread.orderBy("p").collect()]
 
 
-def near_copies(texts: DataFrame, *, size: int = 5, threshold: float = 0.8, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_copies(texts: DataFrame, *, size: int = 5, threshold: float = 0.8, parts: int | None = None, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """(members, links): the node of every text, and all pairs of nodes with at least the threshold of similarity.
 
     texts: ident string, text. members: ident, node; texts with the same set of shingles share a node. links: a, b,
@@ -407,7 +407,7 @@ def near_copies(texts: DataFrame, *, size: int = 5, threshold: float = 0.8, part
     rows = texts.select(F.col("ident").cast("string").alias("ident"), F.col("text").cast("string").alias("text")).where("ident is not null and text is not null")
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = context.broadcast(token_counts(rows.select("text"), size))
-    blocks = rows.select("text").mapInArrow(_pack(size, threshold, counts, part_keys(texts, parts)), "key bigint, data binary")
+    blocks = rows.select("text").mapInArrow(_pack(size, threshold, counts, part_keys(texts, parts), heavy), "key bigint, data binary")
     found = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search(threshold), "a bigint, b bigint")
     pairs = written(found.distinct())
     at = F.col("node").bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)) + 1

@@ -51,10 +51,9 @@ def _boundaries(text: str, q: np.ndarray, room: int) -> tuple[np.ndarray, np.nda
                 for m in _SPACE.finditer(text, a, b):
                     at.setdefault(m.end(), WORD)
             else:
-                steps = np.searchsorted(q, np.arange(q[a] + room, q[b], room), "right") - 1
-                for p in steps.tolist():
-                    if a < p < b:
-                        at.setdefault(p, INSIDE)
+                p = a
+                while (p := int(np.searchsorted(q, q[p] + room, "right")) - 1) < b:
+                    at.setdefault(p, INSIDE)
     positions = np.array(sorted(at), np.int64)
     return positions, np.array([at[p] for p in positions.tolist()])
 
