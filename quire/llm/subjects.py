@@ -29,6 +29,8 @@ LEAST_LIFT, REDUNDANT, EVIDENCE = 1.6, 0.05, 1.0
 COMMON, LEADS, STRENGTH, DISTINCT, ROUNDS = 0.3, 0.4, 1.5, 2, 3
 #: Share that its two main subjects must hold of a word's uses; of those in documents without leading subject, what exceeds the usual rate counts.
 PURE = 0.6
+#: Lift of the documents without leading subject from which a word speaks for none.
+IDLE_LIFT = 3.0
 
 _HEADING = re.compile(r"^\s{0,3}#{1,6}\s")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
@@ -95,11 +97,11 @@ class Rules:
 
 
 def best(score: dict[str, float]) -> str | None:
-    """The subject of a sentence: the highest evidence, when it is enough and not tied."""
+    """The subject of a sentence: the highest evidence, when it is enough, not tied and not that for none."""
     if not score:
         return None
     (c, x), *rest = sorted(score.items(), key=lambda p: (-p[1], p[0]))
-    return c if x >= EVIDENCE and (not rest or x - rest[0][1] > 1e-9) else None
+    return c if c and x >= EVIDENCE and (not rest or x - rest[0][1] > 1e-9) else None
 
 
 def evidence(counts: dict[str, float], prior: dict[str, float], least: float = LEAST_LIFT) -> dict[str, float]:
@@ -207,6 +209,8 @@ def reestimate(texts: DataFrame, rules: Rules, subjects: list[str]) -> Rules:
         idle = sizes[w[:3]][""] / sum(sizes[w[:3]].values())
         if sum(held[:2]) >= PURE * (sum(held) + max(0.0, k[""] - idle * sum(k.values()))) and (e := evidence({c: k[c] for c in subjects}, prior[w[:3]])):
             single[w] = e
+        elif (lift := (k[""] + idle) / (sum(k.values()) + 1) / max(idle, 1e-6)) >= IDLE_LIFT:
+            single[w] = {"": math.log(lift)}  # speaks for no subject, as the words of prefaces do
     return Rules(single or rules.single)
 
 
