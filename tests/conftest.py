@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+here = Path(__file__).resolve().parent
+sys.path[:0] = [str(here), str(here.parent)]
 
 
 @pytest.fixture(scope="session")
