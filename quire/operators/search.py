@@ -17,7 +17,7 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     chunks: chunk_id, vector. queries: query, qvec; a stated set, broadcast only while Spark finds it small.
     """
     scored = chunks.select("chunk_id", "vector").join(queries.select("query", "qvec"), F.size("vector") == F.size("qvec"))
-    scored = scored.select("query", "chunk_id", cosine(F.col("vector"), F.col("qvec")).alias("score")).where("score > 0")
+    scored = scored.select("query", "chunk_id", cosine(F.col("vector"), F.col("qvec")).alias("score")).where("score > 0 and not isnan(score)")
     return ranked(scored, k)
 
 

@@ -12,6 +12,7 @@ from quire.operators.planning import BODY_RULES, HEADING_RULES, OUTCOME
 from quire.session import table
 
 SEARCHES = [("q1", "induction step"), ("q2", "buffer solution"), ("q3", "엔트로피 전기장"), ("q4", "memory leak thread"), ("q5", "the determinant")]
+SECTIONS = {"q1": "1.1", "q2": "4.1", "q3": "6.2", "q4": "8.1", "q5": "10.1"}
 PAGE, BUDGET = 100, 2000
 
 
@@ -50,14 +51,12 @@ def bm25_topk(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir, "chunk_id", "book_id", "section", "text", "vector")
-    topics = table(spark, sf_dir, "topics", "topic_id", "book_id", "section", "title").distinct()
-    found = search.section_members(topics, chunks).withColumnRenamed("topic_id", "query")
-    asked = topics.select(F.col("topic_id").alias("query"), F.col("title").alias("text")).where("text is not null").orderBy("query").limit(20)
-    seen = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x))
-    first = chunks.where((F.size("vector") == 64) & (seen > 0) & ~F.isnan(seen)).orderBy("chunk_id").limit(1).select(F.col("vector").alias("qvec"))
-    asked = asked.crossJoin(F.broadcast(first))  # one row
-    return search.hybrid(chunks, asked, found.join(asked.select("query"), "query", "left_semi"))
+    """The stated searches with a stated vector; chunks of a stated section number come first."""
+    chunks = _chunks(spark, sf_dir, "chunk_id", "section", "text", "vector")
+    numbers = spark.createDataFrame(list(SECTIONS.items()), "query string, number string")
+    first = chunks.select("chunk_id", F.explode(dotted_numbers(F.col("section"))).alias("number")).join(numbers, "number").select("query", "chunk_id")
+    asked = _searches(spark).withColumn("qvec", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.pmod(i * 37, F.lit(64)) / 64.0 - 0.5))
+    return search.hybrid(chunks, asked, first)
 
 
 def section_members(spark, sf_dir):
@@ -214,6 +213,16 @@ _NUMBERS = "list_transform(regexp_extract_all(coalesce({0}, ''), '[0-9]+(?:\\.[0
 _OUTCOME = OUTCOME.replace("'", "''")
 _ANSWERS = "(SELECT DISTINCT result_id, run_id, task, w.role, ok, output, input FROM (SELECT DISTINCT result_id, run_id, task, role, ok, output FROM worker_results) w JOIN (SELECT DISTINCT run_id, task, input FROM tasks) t USING (run_id, task))"
 
+_BM25_SQL = f"""
+WITH docs AS (SELECT chunk_id, {_WORDS.format("text")} AS tokens FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
+size AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM docs),
+terms AS (SELECT DISTINCT query, unnest({_WORDS.format("asked")}) AS term FROM {_SEARCHES_SQL}),
+hits AS (SELECT query, term, chunk_id, len(tokens) AS length, len(list_filter(tokens, lambda t: t = term OR (length(term) >= 4 AND starts_with(t, term)))) AS tf FROM docs, terms),
+df AS (SELECT term, count(DISTINCT chunk_id) AS df FROM hits WHERE tf > 0 GROUP BY 1),
+scored AS (
+  SELECT query, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score
+  FROM hits JOIN df USING (term), size WHERE tf > 0 GROUP BY 1, 2)"""
+
 SQL = {
     "store_stats": "SELECT book_id, count(*) AS chunks FROM (SELECT DISTINCT chunk_id, book_id FROM chunks) GROUP BY 1",
     "store_next_seq": "SELECT book_id, coalesce(max(seq), -1) + 1 AS next_seq FROM chunks GROUP BY 1",
@@ -223,16 +232,23 @@ WITH scored AS (
   SELECT q.vec_id AS query, c.vec_id AS chunk_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
   FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 50 = 0)
 SELECT query, chunk_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS place FROM scored WHERE score > 0) WHERE place <= 10""",
-    "bm25_topk": f"""
-WITH docs AS (SELECT chunk_id, {_WORDS.format("text")} AS tokens FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
-size AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM docs),
-terms AS (SELECT DISTINCT query, unnest({_WORDS.format("asked")}) AS term FROM {_SEARCHES_SQL}),
-hits AS (SELECT query, term, chunk_id, len(tokens) AS length, len(list_filter(tokens, lambda t: t = term OR (length(term) >= 4 AND starts_with(t, term)))) AS tf FROM docs, terms),
-df AS (SELECT term, count(DISTINCT chunk_id) AS df FROM hits WHERE tf > 0 GROUP BY 1),
-scored AS (
-  SELECT query, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score
-  FROM hits JOIN df USING (term), size WHERE tf > 0 GROUP BY 1, 2)
+    "bm25_topk": _BM25_SQL
+    + """
 SELECT query, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS k FROM scored) WHERE k <= 20""",
+    "hybrid_search": _BM25_SQL
+    + f""",
+lexical AS (SELECT query, chunk_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS place FROM scored),
+vectors AS (SELECT DISTINCT chunk_id, vector FROM chunks WHERE len(vector) = 64),
+cosines AS (SELECT query, chunk_id, list_cosine_similarity(vector, list_transform(range(1, 65), lambda i: ((i * 37) % 64) / 64.0 - 0.5)::DOUBLE[]) AS score FROM vectors, {_SEARCHES_SQL}),
+dense AS (SELECT query, chunk_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS place FROM cosines WHERE score > 0 AND NOT isnan(score)),
+numbers AS (SELECT * FROM (VALUES {", ".join(str(x) for x in SECTIONS.items())}) AS n(query, number)),
+firsts AS (
+  SELECT DISTINCT query, chunk_id FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(section, '[0-9]+(?:\\.[0-9]+)+')) AS number FROM chunks WHERE section IS NOT NULL) JOIN numbers USING (number)),
+fused AS (
+  SELECT query, chunk_id, sum(1 / (60.0 + place)) AS score FROM (SELECT * FROM lexical WHERE place <= 30 UNION ALL SELECT * FROM dense WHERE place <= 30) GROUP BY 1, 2),
+others AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS place FROM fused ANTI JOIN firsts USING (query, chunk_id))
+SELECT query, chunk_id, 'primary' AS role, CAST(row_number() OVER (PARTITION BY query ORDER BY chunk_id) AS INTEGER) AS place FROM firsts
+UNION ALL SELECT query, chunk_id, 'crossref', CAST(place AS INTEGER) FROM others WHERE place <= 10""",
     "section_members": r"""
 WITH wanted AS (SELECT DISTINCT topic_id, book_id, trim(unnest(string_split_regex(section, '[,;]'))) AS number FROM topics WHERE section IS NOT NULL),
 have AS (SELECT DISTINCT chunk_id, book_id, unnest(regexp_extract_all(section, '[0-9]+(?:\.[0-9]+)+')) AS number FROM chunks WHERE section IS NOT NULL)
