@@ -49,7 +49,7 @@ def split_plans(plans: DataFrame) -> DataFrame:
     rows = plans.select("plan_id", body.alias("body"), pattern.alias("p"))
     rows = rows.select("plan_id", F.regexp_extract_all("body", F.col("p"), 0).alias("heads"), F.slice(F.split("body", F.col("p")), 2, 1_000_000).alias("parts"))
     rows = rows.select("plan_id", F.posexplode(F.arrays_zip("heads", "parts")).alias("pos", "t"))
-    tidy = F.array_join(F.filter(F.transform(F.split(F.col("t.parts"), "\n"), F.trim), lambda x: x != ""), "\n")
+    tidy = F.array_join(F.filter(F.transform(F.split(F.col("t.parts"), "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
     rows = rows.select("plan_id", (F.col("pos") + 1).alias("id"), F.col("t.heads").alias("heading"), tidy.alias("input"))
     action, role = classify(F.col("heading"), F.col("input"))
     return rows.select("*", target(F.col("input")).alias("target"), action.alias("action"), role.alias("role"))

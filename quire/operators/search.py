@@ -66,7 +66,7 @@ def section_members(topics: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Numbers are exploded on both sides, so this is an equi-join and not a test of all pairs.
     """
-    wanted = topics.select("topic_id", "book_id", F.explode(F.array_distinct(F.transform(F.split(F.coalesce("section", F.lit("")), "[,;]"), F.trim))).alias("number")).where("number <> ''")
+    wanted = topics.select("topic_id", "book_id", F.explode(F.array_distinct(F.transform(F.split(F.coalesce("section", F.lit("")), "[,;]"), lambda x: F.trim(x)))).alias("number")).where("number <> ''")
     have = chunks.select("chunk_id", "book_id", F.explode(F.array_distinct(dotted_numbers(F.col("section")))).alias("number"))
     return wanted.join(have, ["book_id", "number"]).select("topic_id", "chunk_id").distinct()
 

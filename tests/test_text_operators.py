@@ -131,3 +131,11 @@ def test_accumulate_twice(spark, tmp_path):
     df.coalesce(1).toPandas().to_parquet(source) if source.parent.mkdir() is None else None
     for _ in range(2):
         assert accumulate(spark, str(tmp_path / "in"), "t", str(tmp_path / "out"), str(tmp_path / "state"), ["k"]).count() == 2
+
+
+def test_leading_digits_stay(spark):
+    rows = planning.split_plans(spark.createDataFrame([("p", "[Task 1: explain]\n012.6 x\n110 y")], "plan_id string, plan string")).collect()
+    assert rows[0]["input"] == "012.6 x\n110 y"
+    topics = spark.createDataFrame([("t", "b", "3.10, 1.1")], "topic_id string, book_id string, section string")
+    chunks = spark.createDataFrame([("c", "b", "3.10 Ten"), ("d", "b", "3.1 One"), ("e", "b", "1.1 First")], "chunk_id string, book_id string, section string")
+    assert {r["chunk_id"] for r in search.section_members(topics, chunks).collect()} == {"c", "e"}
