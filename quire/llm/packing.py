@@ -129,5 +129,6 @@ def pack(items: DataFrame, capacities: dict[str, int], *, open_windows: int = OP
             break
         room = fan_in
         left = merged.groupBy("name", "into").agg(F.sum("used").alias("used")).select("name", F.col("into").alias("container"), "used")
-    out = placed.join(final, ["name", "container"], "left")
-    return out.select("name", F.coalesce("into", "container").alias("container"), "ident", "part", "first", "tokens")
+    columns = ["name", "container", "ident", "part", "first", "tokens"]
+    moved = placed.where("not done").join(final, ["name", "container"]).withColumn("container", F.col("into"))  # closed ones stay where they are
+    return placed.where("done").select(*columns).unionByName(moved.select(*columns))
