@@ -143,6 +143,22 @@ def test_neighbours_recall_and_copies(spark):
     assert best.count() == 30 and best.where("place = 1 and sim < 0.999").count() == 0
 
 
+def test_neighbours_grow_until_recall(spark):
+    x = np.random.default_rng(2).standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "ident string, vector array<double>")
+    sims = x[::50] @ x.T
+    sims[np.arange(len(sims)), np.arange(0, len(x), 50)] = -2
+    true = {50 * q: set(np.argsort(-row)[:5].tolist()) for q, row in enumerate(sims)}
+
+    def recall(**how):
+        members, _, edges = neighbour_graph(df, dim=32, keep=8, leaf=60, trees=1, rounds=1, **how)
+        got = nearest(members, edges, 5).where("cast(ident as int) % 50 = 0").collect()
+        return sum(int(r["other"]) in true[int(r["ident"])] for r in got) / (5 * len(true))
+
+    assert recall() < 0.7 and recall(recall=0.95) >= 0.9
+
+
 def test_neighbours_empty(spark):
     members, _, edges = neighbour_graph(spark.createDataFrame([], "ident string, vector array<double>"), dim=4)
     assert nearest(members, edges, 5).count() == 0
