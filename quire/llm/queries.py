@@ -70,7 +70,7 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every fiftieth row of embeddings, among all rows, by greedy graph search."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("ident"), F.col("embedding").alias("vector"))
-    members, nodes, edges = neighbour_graph(vectors, dim=64, keep=16)
+    members, nodes, edges = neighbour_graph(vectors, dim=64, keep=16, recall=0.92, k=10)
     asked = members.where("cast(ident as bigint) % 50 = 0").join(nodes, "node").select(F.col("ident").cast("bigint").alias("query"), "vec")
     found = graph_search(asked, nodes, edges, k=11).join(members, "node").where("cast(ident as bigint) <> query")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), F.col("ident").cast("bigint")))

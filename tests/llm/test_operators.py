@@ -159,6 +159,19 @@ def test_neighbours_grow_until_recall(spark):
     assert recall() < 0.7 and recall(recall=0.95) >= 0.9
 
 
+def test_search_reaches_every_cluster(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((60, 16)), 40, axis=0) + 0.05 * rng.standard_normal((2400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "ident string, vector array<double>")
+    members, nodes, edges = neighbour_graph(df, dim=16, keep=16)
+    asked = members.where("cast(ident as int) % 50 = 0").join(nodes, "node").select(F.col("ident").cast("bigint").alias("query"), "vec")
+    got = graph_search(asked, nodes, edges, k=11).join(members, "node").collect()
+    hit = sum(int(r["ident"]) in set(np.argsort(-(x @ x[r["query"]]))[:11].tolist()) for r in got)
+    assert hit / (11 * 48) >= 0.95
+    assert graph_search(asked, nodes.limit(0), edges.limit(0), k=3).count() == 0
+
+
 def test_neighbours_empty(spark):
     members, _, edges = neighbour_graph(spark.createDataFrame([], "ident string, vector array<double>"), dim=4)
     assert nearest(members, edges, 5).count() == 0
