@@ -59,8 +59,10 @@ _ENDS_CUT = re.compile(rf"([^\W\d_][^\s]*?)[{SIGNS}]\s*$")
 class Lexicon:
     """Frequent words with a symmetric-delete index; verdicts on single words are remembered."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], share: float = SHARE):
         self.counts = counts
+        #: Uses that speak for a word itself: a share of all words, so that a misread gains none by a larger corpus.
+        self.common = max(40 * LEAST, 40 * share * sum(counts.values()))
         self.deletes: dict[str, list[str]] = defaultdict(list)
         for w in counts:
             if len(w) > 3 and "가" > w[0]:
@@ -194,12 +196,12 @@ class Reader:
     def word(self, w: str, capital: bool) -> bool:
         """Whether a plain lower-cased word is a misread one."""
         lex = self.lexicon
-        if len(w) < 2 or lex.frequency(w) >= 40 * LEAST and not lex.repairs(w, True):
+        if len(w) < 2 or lex.frequency(w) >= lex.common and not lex.repairs(w, True):
             return False
         if "-" in w and not lex.frequency(w):
             parts = [p for p in w.split("-") if p]
             return any(len(p) > 3 and not lex.frequency(p) and lex.repairs(p, True) for p in parts)
-        if lex.frequency(w) >= 40 * LEAST:
+        if lex.frequency(w) >= lex.common:
             return lex.counts[lex.repairs(w, True)[0][1]] >= 4 * RATIO * lex.frequency(w) and lex.repairs(w, True)[0][0] <= 0.3
         found = lex.repairs(w, capital or len(w) < 5 or lex.frequency(w) >= LEAST)
         return bool(found) and (not capital or found[0][0] <= 0.5 and lex.counts[found[0][1]] >= 50 * LEAST)
@@ -223,7 +225,7 @@ class Reader:
         if re.search(r"[가-힣]\d|[가-힣][!|][가-힣]", core):
             return True
         w = re.sub(r"^[\d.,%]+|[^가-힣]+$", "", core)
-        if not re.fullmatch("[가-힣]+", w) or len(w) < 2 or self.lexicon.frequency(w) >= 40 * LEAST:
+        if not re.fullmatch("[가-힣]+", w) or len(w) < 2 or self.lexicon.frequency(w) >= self.lexicon.common:
             return False
         return bool(self.lexicon.repairs(w))
 

@@ -15,7 +15,7 @@ from quire.llm.neardup import groups, near_copies, pairs_of
 from quire.llm.neighbours import graph_search, nearest, neighbour_graph
 from quire.llm.packing import pack
 from quire.llm.pairs import defective_pairs
-from quire.llm.scans import find_noise, repair_noise
+from quire.llm.scans import Lexicon, Reader, find_noise, lexicon, repair_noise
 from quire.llm.splitting import quarters, split_oversized, split_text
 from quire.llm.subjects import document_subjects
 from quire.llm.tokenizer import token_counts
@@ -46,6 +46,15 @@ def test_noise_found_and_repaired(spark):
     assert text["c0"] == BODY + "." and text["e"] == ""
 
 
+def test_misreads_do_not_depend_on_the_size_of_the_corpus(spark):
+    text = "않는다 determinant " * 2000 + "않논다 determmant " * 15 + "word " * 4000
+    for times in (1, 20, 200):
+        df = spark.range(times).select(F.lit(text).alias("text"))
+        share = 4 / len(text.split())
+        reader = Reader(Lexicon(lexicon(df, share), share))
+        assert [w for w in ("않논다", "determmant", "않는다", "determinant", "word") if reader.misread(w)] == ["않논다", "determmant"], times
+
+
 def test_noise_empty(spark):
     assert find_noise(spark.createDataFrame([], RECORD)).count() == 0
     assert repair_noise(spark.createDataFrame([], RECORD)).count() == 0
