@@ -14,6 +14,8 @@ from quire.session import written
 BUCKETS = 64
 #: Longest remainder, in tokens, that is left to the exact subset-sum step.
 REACH = 1 << 17
+#: Items of the subset-sum step between two kept states.
+BLOCK = 256
 
 
 def source_name(source: Column) -> Column:
@@ -52,28 +54,38 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _knapsack(n: np.ndarray, c: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: counts in powers of two, sums as bits of one integer, traced back from the best."""
+    """Bounded subset sum: counts in powers of two, sums as bits of one integer, traced back from the best.
+
+    Every BLOCK items the state is kept; the trace computes the states in between again, block by block.
+    """
     taken = np.zeros(len(n), np.int64)
     if budget <= 0:
         return taken
-    mask, reach, steps = (1 << (budget + 1)) - 1, 1, []
+    mask, reach, items, kept = (1 << (budget + 1)) - 1, 1, [], [1]
     for k in range(len(n)):
         left, size = min(int(c[k]), budget // int(n[k])), 1
         while left > 0:
             take = min(size, left)
             new = (reach | (reach << (take * int(n[k])))) & mask
             if new != reach:
-                steps.append((k, take, reach))
+                items.append((k, take))
                 reach = new
+                if len(items) % BLOCK == 0:
+                    kept.append(reach)
             left -= take
             size *= 2
-        if reach >> budget & 1 or len(steps) > 600:  # the sum is met; the states kept for the trace stay bounded
+        if reach >> budget & 1:  # the sum is met
             break
     at = reach.bit_length() - 1
-    for k, take, before in reversed(steps):
-        if not before >> at & 1:
-            taken[k] += take
-            at -= take * int(n[k])
+    for start in reversed(range(0, len(items), BLOCK)):
+        before, states = kept[start // BLOCK], []
+        for k, take in items[start : start + BLOCK]:
+            states.append((k, take, before))
+            before = (before | (before << (take * int(n[k])))) & mask
+        for k, take, before in reversed(states):
+            if not before >> at & 1:
+                taken[k] += take
+                at -= take * int(n[k])
     return taken
 
 

@@ -277,6 +277,12 @@ def test_fill_hits_a_reachable_sum():
     assert int((fill(np.array([7, 11, 13]), np.array([5, 5, 5]), 100) * [7, 11, 13]).sum()) == 100
 
 
+def test_fill_tries_the_shortest_lengths():
+    lengths = np.array([*range(4000, 2400, -2), 1])  # only the last reaches an odd sum
+    taken = fill(lengths, np.ones(len(lengths), np.int64), 100_001)
+    assert int((taken * lengths).sum()) == 100_001 and taken.max() == 1
+
+
 def test_mixing(spark):
     rows = [(k, "a" if k % 3 else "b", f"x{k}", 10 + k % 9) for k in range(900)] + [(5000, "c", "y", 40), (5001, "c", "y2", 30), (5002, None, "q", 9), (5003, "zz", "r", 9), (5004, "c", "e", 0), (None, "a", "s", 5), (5005, "c", "y", 40)]
     docs = spark.createDataFrame(rows, "ident bigint, source string, text_key string, tokens bigint").withColumns({"bucket": F.lit("x"), "copies": F.lit(9)})
