@@ -109,7 +109,7 @@ def compressed(text: bytes, prompt: bytes) -> int:
 
 def is_copy(question: str, text: str) -> bool:
     """The prompt as dictionary leaves almost nothing of the response, and almost no word of it is new."""
-    if not question.strip() or len(text) > 8 * len(question) + 200:
+    if not question.strip():
         return False
     q, a = (" ".join(_WORD.findall(x.casefold())) for x in (question, text))
     if not q or not a or compressed(a.encode(), q.encode()) > 14 + 0.25 * len(a.encode()):

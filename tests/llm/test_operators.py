@@ -14,7 +14,7 @@ from quire.llm.mixing import fill, mix
 from quire.llm.neardup import groups, near_copies, pairs_of
 from quire.llm.neighbours import graph_search, nearest, neighbour_graph
 from quire.llm.packing import pack
-from quire.llm.pairs import defective_pairs
+from quire.llm.pairs import defective_pairs, is_copy
 from quire.llm.scans import Lexicon, Reader, find_noise, lexicon, repair_noise
 from quire.llm.splitting import quarters, split_oversized, split_text
 from quire.llm.subjects import document_subjects
@@ -74,6 +74,11 @@ CASES = [
 ]
 
 
+def test_many_repeats_are_a_copy():
+    question = "Explain how the limit relates to the sequence."
+    assert is_copy(question, " ".join([question] * 40))
+
+
 def test_pairs(spark):
     results = [(k, "r", k, a) for k, (_, a, _) in enumerate(CASES)] + [(0, "r", 0, ""), (None, "r", 0, "x"), (900, "gone", 0, "A whole answer without its task."), (901, "r", 0, "long text. " * 100_000)]
     tasks = [("r", k, q) for k, (q, _, _) in enumerate(CASES)] * 2 + [("r", 777, None)]
