@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -56,13 +57,35 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what `written` wrote for frames that are no longer read, as the round before the last of a loop.
+
+    Shuffle files go when the driver's collector finds their plans unreachable; it is asked to look now, since a
+    long loop would otherwise keep the files of all its rounds.
+    """
+    spark = None
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            held = [x for x in _written if path.endswith(x[1].split("/")[-1])]
+            for x in held:
+                _written.remove(x)
+                _delete(*x)
+    if spark is not None:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def drop_written() -> None:
     """Delete what `written` left behind; runs at exit, may be called between jobs."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             return
