@@ -57,20 +57,20 @@ def _close_chunks(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of at least 0.9; similarities far below lead to few of them and are not followed."""
-    close = _close_chunks(spark, sf_dir, least=0.6).where("similarity >= 0.9")
+    """Pairs of at least 0.9."""
+    close = _close_chunks(spark, sf_dir, close=0.9 - 1e-6, show=14, recall=0.995).where("similarity >= 0.9")
     return close.select(F.least("ident", "other").alias("chunk_a"), F.greatest("ident", "other").alias("chunk_b")).distinct()
 
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar other chunks of every chunk."""
-    return _close_chunks(spark, sf_dir, keep=16, leaf=1200, trees=8, recall=0.92).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
+    return _close_chunks(spark, sf_dir, keep=30, refine=12, recall=0.92).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
 
 
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every fiftieth row of embeddings, among all rows, by greedy graph search."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("ident"), F.col("embedding").alias("vector"))
-    members, nodes, edges = neighbour_graph(vectors, dim=64, keep=16, recall=0.92, k=10)
+    members, nodes, edges = neighbour_graph(vectors, dim=64, recall=0.92, k=10)
     asked = members.where("cast(ident as bigint) % 50 = 0").join(nodes, "node").select(F.col("ident").cast("bigint").alias("query"), "vec")
     found = graph_search(asked, nodes, edges, k=11).join(members, "node").where("cast(ident as bigint) <> query")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), F.col("ident").cast("bigint")))

@@ -54,7 +54,9 @@ def written(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(drop_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -71,11 +73,9 @@ def release(*frames: DataFrame) -> None:
     spark = None
     for df in frames:
         spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            held = [x for x in _written if path.endswith(x[1].split("/")[-1])]
-            for x in held:
-                _written.remove(x)
-                _delete(*x)
+        for held in [x for x in _written if x[1] == getattr(df, "written_to", None)]:
+            _written.remove(held)
+            _delete(*held)
     if spark is not None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

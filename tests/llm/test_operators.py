@@ -135,7 +135,7 @@ def test_neighbours_recall_and_copies(spark):
     rows += [(f"w{k:04d}", (base[0] * (k + 1)).tolist()) for k in range(300)]
     bad = [("n", None), ("e", []), ("s", [1.0]), ("z", [0.0] * 16), ("nan", [float("nan")] + [1.0] * 15), ("inf", [float("inf")] + [1.0] * 15), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows + rows[:5] + bad, "ident string, vector array<double>").withColumns({"node": F.lit("x"), "sim": F.lit(1)})
-    members, nodes, edges = neighbour_graph(df, dim=16, cell=150)
+    members, nodes, edges = neighbour_graph(df, dim=16, part=150)
     found = nearest(members, edges, 5)
     got = {}
     for r in found.collect():
@@ -166,11 +166,19 @@ def test_neighbours_grow_until_recall(spark):
     true = {50 * q: set(np.argsort(-row)[:5].tolist()) for q, row in enumerate(sims)}
 
     def recall(**how):
-        members, _, edges = neighbour_graph(df, dim=32, keep=8, leaf=60, trees=1, rounds=1, **how)
+        members, _, edges = neighbour_graph(df, dim=32, keep=8, leaf=60, trees=2, **how)
         got = nearest(members, edges, 5).where("cast(ident as int) % 50 = 0").collect()
         return sum(int(r["other"]) in true[int(r["ident"])] for r in got) / (5 * len(true))
 
-    assert recall() < 0.7 and recall(recall=0.95) >= 0.9
+    assert recall(rounds=1) < 0.7 and recall(rounds=2, recall=0.95) >= 0.9
+
+
+def test_rounds_find_what_the_trees_do_not(spark):
+    x = np.random.default_rng(4).standard_normal((6000, 24))
+    df = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "ident string, vector array<double>")
+    log = []
+    neighbour_graph(df, dim=24, leaf=100, trees=2, rounds=6, part=2500, log=log)
+    assert log[0] < 0.6 and log[-1] >= 0.9 and log == sorted(log)
 
 
 def test_search_reaches_every_cluster(spark):
