@@ -58,13 +58,13 @@ def _close_chunks(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of at least 0.9."""
-    close = _close_chunks(spark, sf_dir, close=0.9 - 1e-6, show=14, recall=0.995).where("similarity >= 0.9")
+    close = _close_chunks(spark, sf_dir, close=0.9 - 1e-6, show=13, rounds=4, recall=0.98).where("similarity >= 0.9")
     return close.select(F.least("ident", "other").alias("chunk_a"), F.greatest("ident", "other").alias("chunk_b")).distinct()
 
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar other chunks of every chunk."""
-    return _close_chunks(spark, sf_dir, keep=30, refine=12, recall=0.92).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
+    return _close_chunks(spark, sf_dir, keep=30, show=20, rounds=6, refine=12, recall=0.92).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
 
 
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
