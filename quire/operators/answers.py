@@ -30,11 +30,16 @@ def states_integer(text: Column, value: Column) -> Column:
 
 
 def requested_count(text: Column) -> Column:
-    """How many problems a request asks for: a number or number word before the word, else 1."""
+    """How many problems a request asks for: a number before the word, else two or three, else 1."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.regexp_extract(low, r"(\d+|two|three|four|five)\s+(?:\w+\s+)?(?:problems?|exercises?|questions?)", 1)
-    named = F.create_map(*(F.lit(x) for p in (("two", 2), ("three", 3), ("four", 4), ("five", 5)) for x in p))
-    return F.coalesce(F.try_element_at(named, found), found.try_cast("int"), F.lit(1))
+    found = F.regexp_extract(low, r"(\d+)\s*(?:problems|exercises|questions|문제)", 1).try_cast("int")
+    named = F.when(low.rlike(r"\btwo\b|두\s*문제"), 2).when(low.rlike(r"\bthree\b|세\s*문제"), 3).otherwise(1)
+    return F.when(found.isNotNull(), F.greatest(found, F.lit(1))).otherwise(named)
+
+
+def all_code(first: Column, second: Column) -> Column:
+    """Code of two texts, each block once, in order."""
+    return F.array_distinct(F.concat(code_blocks(first), code_blocks(second)))
 
 
 def with_result(text: Column, value: Column) -> Column:

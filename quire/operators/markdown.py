@@ -73,7 +73,7 @@ def _tokens(text: str) -> int:
     return max(1, -(-(len(text) - wide) // 4) + wide)
 
 
-def _chunk(minimum: int, target: int, most: int, overlap: int):
+def _chunk(target: int, most: int, overlap: int):
     """Paragraphs packed greedily up to the target, one over the limit cut hard with overlap."""
 
     def cut(text: str) -> Iterator[str]:
@@ -125,10 +125,10 @@ def _chunk(minimum: int, target: int, most: int, overlap: int):
     return run
 
 
-def chunked(docs: DataFrame, ident: str, text: str, *, minimum: int = 200, target: int = 400, most: int = 500, overlap: int = 60) -> DataFrame:
+def chunked(docs: DataFrame, ident: str, text: str, *, target: int = 400, most: int = 500, overlap: int = 60) -> DataFrame:
     """chunk_id, book_id, section, seq, text, tokens of documents with one row per ident."""
     parts = sections(docs, ident, text).select(F.col("ident").cast("string").alias("ident"), "section", F.col("ord").cast("bigint").alias("ord"), "body")
-    pieces = parts.mapInArrow(_chunk(minimum, target, most, overlap), "ident string, section string, ord bigint, part int, text string, tokens int")
+    pieces = parts.mapInArrow(_chunk(target, most, overlap), "ident string, section string, ord bigint, part int, text string, tokens int")
     seq = (F.row_number().over(Window.partitionBy("ident").orderBy("ord", "part")) - 1).cast("int")
     return pieces.withColumn("seq", seq).select(F.concat("ident", F.lit("-"), F.lpad(F.col("seq").cast("string"), 4, "0")).alias("chunk_id"), F.col("ident").alias("book_id"), "section", "seq", "text", "tokens")
 
@@ -176,3 +176,48 @@ def word_signature(text: Column) -> Column:
     """Words of a text without its math; equal for texts that differ in math only."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)\$\$.*?\$\$", " "), r"\$[^$\n]*\$", " ")
     return F.regexp_extract_all(bare, F.lit(r"([0-9A-Za-z가-힣]+)"), 1)
+
+
+def without_nested_thinking(text: Column) -> Column:
+    """Blocks of hidden reasoning out, nested ones too; an unclosed one hides the rest, a lone end mark goes."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)(</?think>|(?:(?!</?think>).)+)"), 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        depth = F.when(x == "<think>", acc["depth"] + 1).when(x == "</think>", F.greatest(F.lit(0), acc["depth"] - 1)).otherwise(acc["depth"])
+        keep = (acc["depth"] == 0) & ~x.isin("<think>", "</think>")
+        return F.struct(depth.alias("depth"), F.when(keep, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+    joined = F.array_join(F.aggregate(tokens, zero, step, lambda acc: acc["out"]), "")
+    plain = F.when(F.contains(text, F.lit("think>")), joined).otherwise(text)
+    return F.regexp_replace(plain, r"^\s+|\s+\z", "")
+
+
+# Math between double and single dollars.
+DISPLAY, INLINE = r"(?s)\$\$(.*?)\$\$", r"\$((?:\\.|[^$\\\n])*)\$(?!\$)"
+
+
+def words_outside_math(text: Column) -> Column:
+    """Lower-cased words of a text without its math, in order."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), DISPLAY, ""), INLINE, "")
+    return F.transform(F.regexp_extract_all(bare, F.lit("([0-9A-Za-z가-힣]+)"), 1), F.lower)
+
+
+def has_empty_math(text: Column) -> Column:
+    """Whether a text has math without content."""
+    shown = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DISPLAY), 1), F.trim)
+    bare = F.exists(shown, lambda x: x.rlike(r"^\s*$") | x.isin("\\begin{aligned}", "\\end{aligned}"))
+    return bare | F.exists(F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), DISPLAY, " "), F.lit(INLINE), 1), lambda x: x.rlike(r"^\s*$"))
+
+
+def guarded_math(rows: DataFrame, ident: str, original: str, candidate: str) -> DataFrame:
+    """ident, text, reason: the candidate where it changes nothing but math and renders, else the original with the reason."""
+    said = lint(rows, ident, candidate).groupBy("ident").agg(F.min(F.struct(F.when(F.col("line") == 0, 2**31 - 1).otherwise(F.col("line")), F.col("message"))).getField("message").alias("issue"))
+    held = rows.select(F.col(ident).alias("ident"), F.col(original).alias("original"), F.col(candidate).alias("candidate")).join(said, "ident", "left")
+    reason = (
+        F.when(words_outside_math(F.col("original")) != words_outside_math(F.col("candidate")), F.lit("non-math text changed"))
+        .when(F.col("issue").isNotNull(), F.concat(F.lit("katex lint: "), F.col("issue")))
+        .when(has_empty_math(F.col("candidate")), F.lit("empty math produced"))
+        .otherwise(F.lit(""))
+    )
+    return held.select("ident", F.when(reason == "", F.col("candidate")).otherwise(F.col("original")).alias("text"), reason.alias("reason"))

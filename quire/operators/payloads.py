@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,21 +13,29 @@ from pyspark.sql.types import StringType
 from quire.functions.text import mixed_tokens
 
 
+_OUTSIDE, _INSIDE = re.compile(r'[{}"]'), re.compile(r'\\.|"', re.DOTALL)
+
+
 def _last_object(text: str | None) -> str | None:
-    """The last complete, balanced object in noisy text; braces in strings do not count."""
-    best, depth, start, quoted, escaped = None, 0, 0, False, False
-    for k, c in enumerate(text or ""):
-        if depth and quoted:
-            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"' and depth:
-            quoted, escaped = True, False
+    """The last balanced object in noisy text that is JSON; braces in strings do not count."""
+    text, best, depth, start, at = text or "", None, 0, 0, 0
+    while m := _OUTSIDE.search(text, at):
+        c, at = m.group(), m.end()
+        if c == '"':
+            while depth and (q := _INSIDE.search(text, at)):  # to the end of the string
+                at = q.end()
+                if q.group() == '"':
+                    break
         elif c == "{":
-            start = k if depth == 0 else start
+            start = m.start() if depth == 0 else start
             depth += 1
-        elif c == "}" and depth:
+        elif depth:
             depth -= 1
             if depth == 0:
-                best = text[start : k + 1]
+                try:
+                    best = text[start:at] if isinstance(json.loads(text[start:at]), dict) else best
+                except ValueError:
+                    pass
     return best
 
 

@@ -25,8 +25,12 @@ BODY_RULES = (
     ("summar", "summary", "worker"),
     ("explain|concept|why is|intuition", "explain", "worker"),
 )
+# Words of a line that states an outcome, of a question that asks for a number, of an answer that says there is none.
 OUTCOME = r"(?i)(terms|need|require|required|approx|about|more than|at least|at most|equals?|is about|=|within|cannot|can't|not covered)"
 
+INTENT = r"(?i)(how many|terms|approxim|within|find\s+n|value of|what|equals?|should be|error|to within)"
+ABSENT = "not covered|not present|no source|cannot say"
+
 
 def classify(heading: Column, body: Column) -> tuple[Column, Column]:
     """Action and role of a task: by its heading, else by its body, else explain."""
@@ -38,6 +42,12 @@ def classify(heading: Column, body: Column) -> tuple[Column, Column]:
     return action, role
 
 
+def default_role(action: Column) -> Column:
+    """The role of an action by the fixed table; an unknown action is the worker's."""
+    known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(action))), F.lit("worker"))
+
+
 def split_plans(plans: DataFrame) -> DataFrame:
     """plan_id, id, heading, input, target, action, role: the tasks of each plan (plan_id, plan).
 
@@ -94,10 +104,12 @@ def anchors(source: Column) -> Column:
     return F.flatten(F.transform(stating, numbers))
 
 
-def anchored(answer: Column, source: Column) -> Column:
-    """Whether a source states no number, or the answer has one of them."""
+def anchored(answer: Column, source: Column, question: Column) -> Column:
+    """Whether a source states no number, the question asks for none, the answer says it is not there, or it has one of them."""
     a, x = anchors(source), numbers(answer)
-    return (F.size(a) == 0) | F.exists(a, lambda p: F.exists(x, lambda q: F.abs(p - q) < 1e-6))
+    asks = F.coalesce(question, F.lit("")).rlike(INTENT)
+    absent = F.lower(F.coalesce(answer, F.lit(""))).rlike(ABSENT)
+    return (F.size(a) == 0) | ~asks | absent | F.exists(a, lambda p: F.exists(x, lambda q: F.abs(p - q) < 1e-6))
 
 
 def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
@@ -108,22 +120,66 @@ def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: in
     return kept.where((F.col("used") <= budget) | (F.col("rank") == 1)).drop("rank")
 
 
-def batches(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """group, order and batch number when rows are filled in order into batches of at most the budget."""
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s")))).alias("all"))
+def _fill(budget: int):
+    """Batch numbers of rows that arrive in order; only the open batch is held, and a group may span any number of rows."""
+
+    def run(frames):
+        key, used, batch = None, 0, 1
+        for frame in frames:
+            out = []
+            for g, s in zip(frame["g"].tolist(), frame["s"].tolist()):
+                if g != key:
+                    key, used, batch = g, 0, 1
+                if used and used + s > budget:
+                    used, batch = 0, batch + 1
+                used += s
+                out.append(batch)
+            yield frame[["g", "o"]].assign(b=out)
 
-    def step(acc, x):
-        fits = (acc["used"] + x["s"] <= budget) | (acc["used"] == 0)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(F.when(fits, acc["used"] + x["s"]).otherwise(x["s"]).alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("b")))).alias("out"))
+    return run
 
-    kind = dict(rows.dtypes)[order]
-    zero = F.expr(f"named_struct('used', 0L, 'batch', 1, 'out', cast(array() as array<struct<o:{kind},b:int>>))")
-    return listed.select(group, F.inline(F.aggregate("all", zero, step, lambda acc: acc["out"]))).select(group, F.col("o").alias(order), F.col("b").alias("batch"))
+
+def batches(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+    """group, order and batch number when rows are filled in order into batches of at most the budget.
+
+    Rows stream through in order, so a hot group is one long pass in little memory.
+    """
+    kinds = dict(rows.dtypes)
+    listed = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("bigint").alias("s")).repartition("g").sortWithinPartitions("g", "o")
+    out = listed.mapInPandas(_fill(budget), f"g {kinds[group]}, o {kinds[order]}, b int")
+    return out.select(F.col("g").alias(group), F.col("o").alias(order), F.col("b").alias("batch"))
 
 
 def merged_report(results: DataFrame) -> DataFrame:
-    """run_id, report: the answers of a run in task order under headings."""
-    part = F.concat(F.lit("## Task "), F.col("task").cast("string"), F.lit(" · "), F.coalesce("role", F.lit("worker")), F.lit("\n\n"), F.coalesce("output", F.lit("")))
+    """run_id, report: the answers of a run in task order under headings; failed and ungrounded ones say so.
+
+    results: run_id, task, result_id, role, output, error, grounded, grounding_note.
+    """
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    shown = F.regexp_replace(F.coalesce("output", F.lit("")), r"\s+\z", "")
+    note = F.coalesce(F.nullif("grounding_note", F.lit("")), F.lit("did not reproduce source.\n"))
+    body = (
+        F.when(failed, F.concat(F.lit("> ⚠️ worker failed: "), F.col("error"), F.lit("\n")))
+        .when(shown == "", F.lit(None).cast("string"))
+        .when(~F.coalesce(F.col("grounded"), F.lit(True)), F.concat(F.lit("> 🔴 UNGROUNDED — "), note, F.lit("\n\n"), shown, F.lit("\n")))
+        .otherwise(F.concat(shown, F.lit("\n")))
+    )
+    part = F.concat_ws("\n", F.concat(F.lit("## Task "), F.col("task").cast("string"), F.lit(" · "), F.coalesce("role", F.lit("worker")), F.lit("\n")), body)
     rows = results.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("task", "result_id", part.alias("part")))).alias("parts"))
-    return rows.select("run_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n").alias("report"))
+    return rows.select("run_id", F.array_join(F.transform("parts", lambda x: x["part"]), "\n").alias("report"))
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """run_id with its answers and those that are ok."""
+    return results.groupBy("run_id").agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"))
+
+
+def code_counts(results: DataFrame) -> DataFrame:
+    """code and how often it was given."""
+    return results.select(F.explode("error_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def served(tasks: DataFrame, servers: int) -> DataFrame:
+    """run_id, task, server: the tasks of a role in turn over its servers."""
+    turn = F.row_number().over(Window.partitionBy("run_id", "role").orderBy("task")) - 1
+    return tasks.select("run_id", "task", F.pmod(turn, F.lit(servers)).alias("server"))

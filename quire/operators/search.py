@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +15,63 @@ from quire.functions.vectors import cosine
 K1, B, RRF = 1.5, 0.75, 60
 
 
+#: Bytes of query vectors or query terms that may be sent to every task.
+SENT = 64 << 20
+
+
+def _products(asked, k: int):
+    """The k best of each query among the rows of a batch; the rest of a batch can be no answer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size = {d: (names, unit(q)) for d, (names, q) in asked.value.items()}
+        for batch in batches:
+            ids, vectors = batch.columns
+            sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            for d, (names, q) in by_size.items():
+                at = np.flatnonzero(sizes == d)
+                if not len(at):
+                    continue
+                v = vectors.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, d)
+                with np.errstate(all="ignore"):
+                    scores = q @ unit(v).T
+                scores[~(scores > 0)] = -1  # NaN too
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k] if len(at) <= k else np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                least = np.take_along_axis(scores, top, 1).min(axis=1, keepdims=True)
+                i, j = np.nonzero((scores >= least) & (scores > 0))  # ties of the last stay
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), ids.take(pa.array(at[j])), pa.array(scores[i, j])], names=["query", "chunk_id", "score"])
+
+    return run
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows at unit length; zero rows stay zero."""
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm == 0, 1, norm)
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, chunk_id, score, place: the k chunks with the highest positive cosine; ties by chunk_id.
 
-    chunks: chunk_id, vector. queries: query, qvec; a stated set, broadcast only while Spark finds it small.
+    chunks: chunk_id, vector. queries: query, qvec. Queries of up to SENT bytes go to every task, which multiplies blocks
+    and keeps its best; more of them are joined by vector length, salted by the chunk.
     """
-    scored = chunks.select("chunk_id", "vector").join(queries.select("query", "qvec"), F.size("vector") == F.size("qvec"))
+    kinds = dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query"]
+    stated = queries.select("query", F.col("qvec").cast("array<double>").alias("qvec")).where("size(qvec) > 0")
+    size = stated.agg(F.sum(8 * F.size("qvec"))).first()[0] or 0
+    if size <= SENT:
+        rows = stated.toArrow()
+        lengths = rows.column("qvec").combine_chunks().value_lengths().to_numpy() if rows.num_rows else np.empty(0, np.int64)
+        held = {}
+        for d in np.unique(lengths).tolist():
+            part = rows.take(pa.array(np.flatnonzero(lengths == d))).combine_chunks()
+            flat = part.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            held[d] = part.column("query").combine_chunks(), flat.reshape(-1, d)
+        asked = chunks.sparkSession.sparkContext.broadcast(held)
+        scored = chunks.select("chunk_id", "vector").mapInArrow(_products(asked, k), f"query {kinds[1]}, chunk_id {kinds[0]}, score double")
+        return ranked(scored, k)
+    left = chunks.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("salt"))
+    right = stated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    scored = left.join(right, (F.size("vector") == F.size("qvec")) & (left["salt"] == right["salt"]))
     scored = scored.select("query", "chunk_id", cosine(F.col("vector"), F.col("qvec")).alias("score")).where("score > 0 and not isnan(score)")
     return ranked(scored, k)
 
@@ -27,29 +82,27 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
-def matches(tokens: Column, term: Column) -> Column:
-    """Occurrences of a term: equal tokens, and from four letters on those that begin with it."""
-    return F.size(F.filter(tokens, lambda t: (t == term) | ((F.length(term) >= 4) & F.startswith(t, term))))
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, chunk_id, score, place by BM25 with light prefix stemming.
 
     chunks: chunk_id, text. queries: query, text. Where no chunk has a term, chunks that contain the query text
-    score 0.5. Statistics cover all chunks; one scan counts the terms of all queries, so texts are not shuffled.
+    score 0.5. Statistics cover all chunks. Each text is cut into words once; words meet the terms of the queries,
+    equal or by their beginnings, in an equi-join that Spark broadcasts when the terms are few. No text is shuffled.
     """
     terms = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    docs = chunks.select("chunk_id", words(F.col("text")).alias("tokens"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    docs = chunks.select("chunk_id", words(F.col("text")).alias("tokens"))
     size = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    wanted = terms.select("term").distinct()
-    hits = docs.join(F.broadcast(wanted), F.array_contains("tokens", F.col("term")) | ((F.length("term") >= 4) & F.exists("tokens", lambda t: F.startswith(t, F.col("term")))))
-    hits = hits.select("chunk_id", "term", F.size("tokens").alias("length"), matches(F.col("tokens"), F.col("term")).alias("tf"))
+    token = F.col("token")
+    starts = F.when(F.length(token) > 4, F.concat(F.array(token), F.transform(F.sequence(F.lit(4), F.length(token) - 1), lambda n: F.substring(token, F.lit(1), n)))).otherwise(F.array(token))
+    found = docs.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).select("chunk_id", "length", F.explode(starts).alias("term"))
+    hits = found.join(terms.select("term").distinct(), "term").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(size)).groupBy("query", "chunk_id").agg(F.sum(part).alias("score"))
+    scored = hits.join(df, "term").join(terms, "term").crossJoin(size).groupBy("query", "chunk_id").agg(F.sum(part).alias("score"))
     plain = queries.join(scored.select("query").distinct(), "query", "left_anti").join(terms.select("query").distinct(), "query", "left_semi")
-    fallback = docs.join(F.broadcast(plain), F.contains("low", F.lower("text"))).select("query", "chunk_id", F.lit(0.5).alias("score"))
+    low = chunks.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    fallback = low.join(plain, F.contains("low", F.lower("text"))).select("query", "chunk_id", F.lit(0.5).alias("score"))
     return ranked(scored.where("score > 0").unionByName(fallback), k)
 
 
@@ -93,3 +146,12 @@ def overlap_score(title: Column, body: Column, query: Column, title_weight: int
     """Weighted number of distinct query words in a title and a body."""
     q = F.array_distinct(words(query))
     return title_weight * F.size(F.array_intersect(words(title), q)) + body_weight * F.size(F.array_intersect(words(body), q))
+
+
+def keywords(chunks: DataFrame, title: str, body: str, queries: DataFrame, k: int, title_weight: int = 3, body_weight: int = 1) -> DataFrame:
+    """query, chunk_id, score, place: overlap_score over all chunks by an equi-join of words with the terms of the queries."""
+    terms = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    found = chunks.select("chunk_id", F.explode(F.array((F.struct(F.lit(title_weight).alias("w"), F.array_distinct(words(F.col(title))).alias("t"))), F.struct(F.lit(body_weight).alias("w"), F.array_distinct(words(F.col(body))).alias("t")))).alias("s"))
+    found = found.select("chunk_id", F.col("s.w").alias("w"), F.explode("s.t").alias("term"))
+    once = found.join(terms, "term").groupBy("query", "chunk_id", "term", "w").agg(F.lit(1).alias("one"))  # a repeated row counts once
+    return ranked(once.groupBy("query", "chunk_id").agg(F.sum("w").cast("int").alias("score")), k)

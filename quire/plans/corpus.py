@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import dotted_numbers, file_slug, first_number, mixed_tokens, slug, third_tokens
 from quire.functions.vectors import stub_embedding
-from quire.operators import markdown, planning, search, store
-from quire.operators.planning import BODY_RULES, HEADING_RULES, OUTCOME
+from quire.operators import markdown, planning, registry, search, store
+from quire.operators.payloads import strict_json
+from quire.operators.planning import ABSENT, BODY_RULES, HEADING_RULES, INTENT, OUTCOME
 from quire.session import table
 
 SEARCHES = [("q1", "induction step"), ("q2", "buffer solution"), ("q3", "엔트로피 전기장"), ("q4", "memory leak thread"), ("q5", "the determinant")]
@@ -34,8 +35,11 @@ def store_next_seq(spark, sf_dir):
 
 
 def store_upsert(spark, sf_dir):
-    old = _chunks(spark, sf_dir, "chunk_id", "book_id", "section")
-    return store.upserted(old, old.where("section is null").withColumn("section", F.lit("untitled")), "chunk_id")
+    """Changed rows (sections named), repeated ones and new ones (a copy of each oversized chunk under a new id)."""
+    old = _chunks(spark, sf_dir, "chunk_id", "book_id", "section", "tokens")
+    changed = old.where("section is null").withColumn("section", F.lit("untitled"))
+    new = old.where("tokens > 500").withColumn("chunk_id", F.concat("chunk_id", F.lit("-copy")))
+    return store.upserted(old, changed.unionByName(changed).unionByName(new), "chunk_id").select("chunk_id", "book_id", "section")
 
 
 def dense_topk(spark, sf_dir):
@@ -65,14 +69,13 @@ def section_members(spark, sf_dir):
 
 
 def keyword_topk(spark, sf_dir):
-    rows = _chunks(spark, sf_dir, "chunk_id", "section", "text").crossJoin(F.broadcast(_searches(spark).select("query", F.col("text").alias("asked"))))
-    scored = rows.select("query", "chunk_id", search.overlap_score(F.col("section"), F.col("text"), F.col("asked")).alias("score")).where("score > 0")
-    return search.ranked(scored, 20).select("query", "chunk_id", "score", "place")
+    rows = table(spark, sf_dir, "chunks", "chunk_id", "section", "text")
+    return search.keywords(rows, "section", "text", _searches(spark), 20).select("query", "chunk_id", "score", "place")
 
 
 def token_totals(spark, sf_dir):
-    rows = _chunks(spark, sf_dir, "chunk_id", "book_id", "text")
-    return rows.groupBy("book_id").agg(F.sum(mixed_tokens(F.col("text"))).alias("mixed"), F.sum(third_tokens(F.col("text"))).alias("thirds"))
+    rows = table(spark, sf_dir, "chunks", "chunk_id", "book_id", "text").select("chunk_id", "book_id", mixed_tokens(F.col("text")).alias("mixed"), third_tokens(F.col("text")).alias("thirds")).distinct()
+    return rows.groupBy("book_id").agg(F.sum("mixed").alias("mixed"), F.sum("thirds").alias("thirds"))
 
 
 def title_slugs(spark, sf_dir):
@@ -85,16 +88,12 @@ def section_numbers(spark, sf_dir):
 
 
 def discovered_sections(spark, sf_dir):
-    rows = _chunks(spark, sf_dir, "book_id", "section", "seq").withColumn("number", first_number(F.col("section"))).where("number is not null")
-    first = rows.groupBy("book_id", "number").agg(F.min(F.struct("seq", "section")).getField("section").alias("heading"))
-    known = table(spark, sf_dir, "topics", "book_id", "section").select("book_id", F.explode(dotted_numbers(F.col("section"))).alias("number")).distinct()
-    title = F.regexp_replace(F.regexp_replace("heading", r"^\s*[0-9]+(\.[0-9]+)*", ""), r"^[ :.\-]+|[ :.\-]+$", "")
-    return first.join(known, ["book_id", "number"], "left_anti").select("book_id", "number", F.when(title == "", F.col("heading")).otherwise(title).alias("title"))
+    return registry.discovered(_chunks(spark, sf_dir, "book_id", "section", "seq"), table(spark, sf_dir, "topics", "topic_id", "book_id", "section"))
 
 
 def clean_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "parsed_books", "path", "markdown").distinct().where("markdown is not null")
-    return rows.select("path", F.md5(markdown.clean_glyphs(F.col("markdown"))).alias("digest"))
+    rows = table(spark, sf_dir, "parsed_books", "path", "markdown").where("markdown is not null")
+    return rows.select("path", F.md5(markdown.clean_glyphs(F.col("markdown"))).alias("digest")).distinct()
 
 
 def promoted_pages(spark, sf_dir):
@@ -103,8 +102,8 @@ def promoted_pages(spark, sf_dir):
 
 
 def scanned_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "parsed_books", "path", "markdown", "pages").distinct()
-    return rows.select("path", markdown.looks_scanned(F.col("markdown"), F.col("pages")).alias("scanned"))
+    rows = table(spark, sf_dir, "parsed_books", "path", "markdown", "pages")
+    return rows.select("path", markdown.looks_scanned(F.col("markdown"), F.col("pages")).alias("scanned")).distinct()
 
 
 def page_sections(spark, sf_dir):
@@ -117,16 +116,17 @@ def page_chunks(spark, sf_dir):
 
 
 def math_lint(spark, sf_dir):
-    return markdown.lint(_chunks(spark, sf_dir, "chunk_id", "text"), "chunk_id", "text")
+    once = table(spark, sf_dir, "chunks", "chunk_id", "text").where("contains(text, '$') or contains(text, '\\\\')").distinct()  # other texts hold no math
+    return markdown.lint(once, "chunk_id", "text")
 
 
 def dollar_balance(spark, sf_dir):
-    return _chunks(spark, sf_dir, "chunk_id", "text").where("text is not null").select("chunk_id", F.regexp_count("text", F.lit(r"(?<!\\)\$")).alias("dollars"))
+    return table(spark, sf_dir, "chunks", "chunk_id", "text").where("text is not null").select("chunk_id", F.regexp_count("text", F.lit(r"(?<!\\)\$")).alias("dollars")).distinct()
 
 
 def word_signatures(spark, sf_dir):
-    rows = _chunks(spark, sf_dir, "chunk_id", "text").where("text is not null")
-    return rows.select("chunk_id", F.md5(F.array_join(markdown.word_signature(F.col("text")), " ")).alias("digest"))
+    rows = table(spark, sf_dir, "chunks", "chunk_id", "text").where("text is not null")
+    return rows.select("chunk_id", F.md5(F.array_join(markdown.word_signature(F.col("text")), " ")).alias("digest")).distinct()
 
 
 def task_classes(spark, sf_dir):
@@ -143,20 +143,19 @@ def plan_tasks(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    results = table(spark, sf_dir, "worker_results", "result_id", "run_id", "task", "role", "ok", "output").distinct()
+    results = table(spark, sf_dir, "worker_results", "result_id", "run_id", "task", "role", "ok", "output", "sources", "error", "grounded", "grounding_note").distinct()
     return results.join(table(spark, sf_dir, "tasks", "run_id", "task", "input").distinct(), ["run_id", "task"])
 
 
 def answer_gates(spark, sf_dir):
-    answer, source = F.col("output"), F.col("input")
+    answer, source = F.col("output"), F.array_join("sources", "\n")
     return _answers(spark, sf_dir).select(
-        "result_id", planning.too_short(answer).alias("short"), planning.shares_words(answer, source).alias("shares"), planning.anchored(answer, source).alias("anchored")
+        "result_id", planning.too_short(answer).alias("short"), planning.shares_words(answer, source).alias("shares"), planning.anchored(answer, source, F.col("input")).alias("anchored")
     )
 
 
 def run_summary(spark, sf_dir):
-    rows = table(spark, sf_dir, "worker_results", "result_id", "run_id", "ok").distinct()
-    return rows.groupBy("run_id").agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"))
+    return planning.run_totals(table(spark, sf_dir, "worker_results", "result_id", "run_id", "ok").distinct())
 
 
 def run_reports(spark, sf_dir):
@@ -164,30 +163,26 @@ def run_reports(spark, sf_dir):
 
 
 def budget_prefix(spark, sf_dir):
-    rows = _chunks(spark, sf_dir, "chunk_id", "book_id", "seq", "text").select("chunk_id", "book_id", F.struct("seq", "chunk_id").alias("ord"), mixed_tokens(F.col("text")).alias("size"))
+    rows = table(spark, sf_dir, "chunks", "chunk_id", "book_id", "seq", "text").select("chunk_id", "book_id", F.struct("seq", "chunk_id").alias("ord"), mixed_tokens(F.col("text")).alias("size")).distinct()
     return planning.within_budget(rows, "book_id", "ord", "size", BUDGET).select("chunk_id", "used")
 
 
 def budget_batches(spark, sf_dir):
-    rows = _chunks(spark, sf_dir, "chunk_id", "book_id", "text").select("chunk_id", "book_id", mixed_tokens(F.col("text")).alias("size"))
+    rows = table(spark, sf_dir, "chunks", "chunk_id", "book_id", "text").select("chunk_id", "book_id", mixed_tokens(F.col("text")).alias("size")).distinct()
     return planning.batches(rows, "book_id", "chunk_id", "size", BUDGET)
 
 
 def round_robin(spark, sf_dir):
-    rows = table(spark, sf_dir, "tasks", "run_id", "task", "role").distinct().withColumn("role", F.coalesce("role", F.lit("worker")))
-    turn = F.row_number().over(Window.partitionBy("run_id", "role").orderBy("task")) - 1
-    return rows.select("run_id", "task", F.pmod(turn, F.lit(3)).alias("server"))
+    return planning.served(table(spark, sf_dir, "tasks", "run_id", "task", "role").distinct().withColumn("role", F.coalesce("role", F.lit("worker"))), 3)
 
 
 def page_cover(spark, sf_dir):
-    rows = table(spark, sf_dir, "books", "book_id", "intervals")
-    held = F.exists("intervals", lambda s: (s["lo"] <= PAGE) & (s["hi"] >= PAGE) & (s["lo"] >= 1))
-    return rows.groupBy("book_id").agg(F.coalesce(F.bool_or(held), F.lit(False)).alias("held"))
+    spans = table(spark, sf_dir, "books", "book_id", "intervals").select(F.col("book_id").alias("entity"), F.inline_outer("intervals"))
+    return registry.covers(spans, PAGE).withColumnRenamed("entity", "book_id")
 
 
 def error_codes(spark, sf_dir):
-    rows = table(spark, sf_dir, "worker_results", "result_id", "error_codes").distinct()
-    return rows.select(F.explode("error_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return planning.code_counts(table(spark, sf_dir, "worker_results", "result_id", "error_codes").distinct())
 
 
 def stub_vectors(spark, sf_dir):
@@ -196,8 +191,9 @@ def stub_vectors(spark, sf_dir):
 
 
 def json_answers(spark, sf_dir):
-    rows = table(spark, sf_dir, "worker_results", "result_id", "output").distinct().where("ltrim(output) like '{%'")
-    return rows.select("result_id", F.expr("try_parse_json(output) is not null").alias("valid"))
+    """Answers that are JSON, fenced or not."""
+    rows = table(spark, sf_dir, "worker_results", "result_id", "output").distinct()
+    return rows.select("result_id", strict_json(F.col("output")).isNotNull().alias("valid"))
 
 
 def _rules_sql(column: str, rules, at: int, otherwise: str) -> str:
@@ -211,7 +207,7 @@ _TOKENS = "greatest(1, (length(coalesce(text, '')) - length(regexp_replace(coale
 _LONG = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z]{{4,}}')"
 _NUMBERS = "list_transform(regexp_extract_all(coalesce({0}, ''), '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::DOUBLE)"
 _OUTCOME = OUTCOME.replace("'", "''")
-_ANSWERS = "(SELECT DISTINCT result_id, run_id, task, w.role, ok, output, input FROM (SELECT DISTINCT result_id, run_id, task, role, ok, output FROM worker_results) w JOIN (SELECT DISTINCT run_id, task, input FROM tasks) t USING (run_id, task))"
+_ANSWERS = "(SELECT DISTINCT result_id, run_id, task, w.role, ok, output, sources, error, grounded, grounding_note, input FROM (SELECT DISTINCT result_id, run_id, task, role, ok, output, sources, error, grounded, grounding_note FROM worker_results) w JOIN (SELECT DISTINCT run_id, task, input FROM tasks) t USING (run_id, task))"
 
 _BM25_SQL = f"""
 WITH docs AS (SELECT chunk_id, {_WORDS.format("text")} AS tokens FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
@@ -226,7 +222,9 @@ scored AS (
 SQL = {
     "store_stats": "SELECT book_id, count(*) AS chunks FROM (SELECT DISTINCT chunk_id, book_id FROM chunks) GROUP BY 1",
     "store_next_seq": "SELECT book_id, coalesce(max(seq), -1) + 1 AS next_seq FROM chunks GROUP BY 1",
-    "store_upsert": "SELECT DISTINCT chunk_id, book_id, coalesce(section, 'untitled') AS section FROM chunks",
+    "store_upsert": """
+SELECT DISTINCT chunk_id, book_id, coalesce(section, 'untitled') AS section FROM chunks
+UNION ALL SELECT DISTINCT chunk_id || '-copy', book_id, section FROM chunks WHERE tokens > 500""",
     "dense_topk": """
 WITH scored AS (
   SELECT q.vec_id AS query, c.vec_id AS chunk_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
@@ -296,11 +294,17 @@ WITH rows AS (SELECT DISTINCT run_id, task, action, input FROM tasks), classed A
 SELECT *, CASE WHEN class = 'problems' THEN 2400 WHEN role = 'coder' THEN 1400 WHEN role = 'reasoner' THEN 2000 ELSE 900 END AS budget FROM classed""",
     "answer_gates": f"""
 SELECT result_id, length(regexp_replace(coalesce(output, ''), '^\\s+|\\s+$', '', 'g')) < 40 AS short,
-  len(list_intersect({_LONG.format("output")}, {_LONG.format("input")})) > 0 AS shares,
+  len(list_intersect({_LONG.format("output")}, {_LONG.format("source")})) > 0 AS shares,
+  NOT regexp_matches(coalesce(input, ''), '{INTENT}') OR regexp_matches(lower(coalesce(output, '')), '{ABSENT}') OR
   len(a) = 0 OR len(list_filter(a, lambda p: len(list_filter({_NUMBERS.format("output")}, lambda q: abs(p - q) < 1e-6)) > 0)) > 0 AS anchored
-FROM (SELECT *, flatten(list_transform(list_filter(string_split_regex(coalesce(input, ''), '\\r?\\n'), lambda x: regexp_matches(x, '{_OUTCOME}')), lambda x: {_NUMBERS.format("x")})) AS a FROM {_ANSWERS})""",
+FROM (SELECT *, flatten(list_transform(list_filter(string_split_regex(coalesce(source, ''), '\\r?\\n'), lambda x: regexp_matches(x, '{_OUTCOME}')), lambda x: {_NUMBERS.format("x")})) AS a
+  FROM (SELECT *, array_to_string(sources, chr(10)) AS source FROM {_ANSWERS}))""",
     "run_summary": "SELECT run_id, count(*) FILTER (ok) AS ok, count(*) AS total FROM (SELECT DISTINCT result_id, run_id, ok FROM worker_results) GROUP BY 1",
-    "run_reports": f"SELECT run_id, md5(string_agg('## Task ' || task || ' · ' || coalesce(role, 'worker') || chr(10) || chr(10) || coalesce(output, ''), chr(10) || chr(10) ORDER BY task, result_id)) AS digest FROM {_ANSWERS} GROUP BY 1",
+    "run_reports": f"""
+WITH parts AS (SELECT run_id, task, result_id, '## Task ' || task || ' · ' || coalesce(role, 'worker') || chr(10) AS head, coalesce(error, '') AS e, regexp_replace(coalesce(output, ''), '\\s+$', '') AS o,
+  coalesce(grounded, true) AS g, coalesce(nullif(grounding_note, ''), 'did not reproduce source.' || chr(10)) AS note FROM {_ANSWERS}),
+whole AS (SELECT *, head || coalesce(chr(10) || CASE WHEN e <> '' THEN '> ⚠️ worker failed: ' || e || chr(10) WHEN o = '' THEN NULL WHEN NOT g THEN '> 🔴 UNGROUNDED — ' || note || chr(10) || chr(10) || o || chr(10) ELSE o || chr(10) END, '') AS part FROM parts)
+SELECT run_id, md5(string_agg(part, chr(10) ORDER BY task, result_id)) AS digest FROM whole GROUP BY 1""",
     "budget_prefix": f"""
 WITH sized AS (SELECT chunk_id, book_id, seq, {_TOKENS} AS size FROM (SELECT DISTINCT chunk_id, book_id, seq, text FROM chunks)),
 run AS (SELECT chunk_id, sum(size) OVER w AS used, row_number() OVER w AS k FROM sized WINDOW w AS (PARTITION BY book_id ORDER BY seq NULLS FIRST, chunk_id ROWS UNBOUNDED PRECEDING))
@@ -313,7 +317,8 @@ FROM (SELECT DISTINCT run_id, task, coalesce(role, 'worker') AS role FROM tasks)
     "stub_vectors": """
 SELECT chunk_id, round(list_sum(list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha256(text), CAST(i * 2 + 1 AS INTEGER), 2) AS INTEGER) / 255.0)), 6) AS total
 FROM (SELECT DISTINCT chunk_id, text FROM chunks) WHERE text IS NOT NULL""",
-    "json_answers": "SELECT result_id, json_valid(output) AS valid FROM (SELECT DISTINCT result_id, output FROM worker_results) WHERE ltrim(output) LIKE '{%'",
+    "json_answers": r"""
+SELECT result_id, coalesce(json_valid(trim(regexp_replace(regexp_replace(trim(output), '^```(?:json)?\s*', ''), '\s*```$', ''))), false) AS valid FROM (SELECT DISTINCT result_id, output FROM worker_results)""",
 }
 
 QUERIES = {

@@ -72,8 +72,11 @@ def test_plans(spark):
 
 
 def test_gates(spark):
-    df = spark.createDataFrame([("about 32 terms needed", "n = 32"), ("about 32 terms needed", "n = 45"), ("no outcome here 7", "8"), (None, None)], "source string, answer string")
-    assert [r[0] for r in df.select(planning.anchored(F.col("answer"), F.col("source"))).collect()] == [True, False, True, True]
+    df = spark.createDataFrame([
+        ("about 32 terms needed", "n = 32", "how many terms"), ("about 32 terms needed", "n = 45", "how many terms"), ("about 32 terms needed", "not covered in the supplied source", "how many terms"),
+        ("about 32 terms needed", "n = 45", "state theorem"), ("about 32 terms needed", "many", "how many terms"), ("no outcome here 7", "8", "how many"), (None, None, None),
+    ], "source string, answer string, question string")
+    assert [r[0] for r in df.select(planning.anchored(F.col("answer"), F.col("source"), F.col("question"))).collect()] == [True, False, True, True, False, True, True]
     assert one(spark, planning.too_short, "x" * 39 + "  ") is True and one(spark, planning.too_short, "x" * 40) is False
 
 
