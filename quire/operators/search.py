@@ -6,17 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import dotted_numbers, words
 from quire.functions.vectors import cosine
+from quire.session import written
 
 K1, B, RRF = 1.5, 0.75, 60
 
 
 #: Bytes of query vectors or query terms that may be sent to every task.
 SENT = 64 << 20
+#: Terms and queries that are counted in one pass over the texts; signs of a word.
+TERMS, SIGNS = 256, "0-9a-z가-힣"
 
 
 def _products(asked, k: int):
@@ -35,8 +39,8 @@ def _products(asked, k: int):
                 with np.errstate(all="ignore"):
                     scores = q @ unit(v).T
                 scores[~(scores > 0)] = -1  # NaN too
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k] if len(at) <= k else np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                least = np.take_along_axis(scores, top, 1).min(axis=1, keepdims=True)
+                most = k + len(at) - len(pc.unique(ids.take(pa.array(at))))  # places that repeats may take
+                least = -np.partition(-scores, most - 1, axis=1)[:, most - 1 : most] if len(at) > most else -np.ones((len(q), 1))
                 i, j = np.nonzero((scores >= least) & (scores > 0))  # ties of the last stay
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), ids.take(pa.array(at[j])), pa.array(scores[i, j])], names=["query", "chunk_id", "score"])
 
@@ -53,7 +57,7 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, chunk_id, score, place: the k chunks with the highest positive cosine; ties by chunk_id.
 
     chunks: chunk_id, vector. queries: query, qvec. Queries of up to SENT bytes go to every task, which multiplies blocks
-    and keeps its best; more of them are joined by vector length, salted by the chunk.
+    and keeps its best; more of them are joined by vector length, salted by the chunk. A repeated chunk counts once.
     """
     kinds = dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query"]
     stated = queries.select("query", F.col("qvec").cast("array<double>").alias("qvec")).where("size(qvec) > 0")
@@ -68,12 +72,12 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             held[d] = part.column("query").combine_chunks(), flat.reshape(-1, d)
         asked = chunks.sparkSession.sparkContext.broadcast(held)
         scored = chunks.select("chunk_id", "vector").mapInArrow(_products(asked, k), f"query {kinds[1]}, chunk_id {kinds[0]}, score double")
-        return ranked(scored, k)
+        return ranked(scored.groupBy("query", "chunk_id").agg(F.max("score").alias("score")), k)
     left = chunks.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("salt"))
     right = stated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
     scored = left.join(right, (F.size("vector") == F.size("qvec")) & (left["salt"] == right["salt"]))
     scored = scored.select("query", "chunk_id", cosine(F.col("vector"), F.col("qvec")).alias("score")).where("score > 0 and not isnan(score)")
-    return ranked(scored, k)
+    return ranked(scored.groupBy("query", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -82,27 +86,58 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 
+def _counted(chunks: DataFrame, terms: list[str], asked: list[tuple[str, str]]) -> DataFrame:
+    """chunk_id, length, hits (term, tf) and whole (queries whose text is in the chunk), in one pass over the texts."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    count = lambda t: F.regexp_count(low, F.lit(f"{t}(?<![{SIGNS}]{t})" + ("" if len(t) >= 4 else f"(?![{SIGNS}])")))
+    tf = [F.struct(F.lit(t).alias("term"), F.when(F.contains(low, F.lit(t)), count(t)).otherwise(0).alias("tf")) for t in terms]
+    whole = [F.when(F.contains(low, F.lit(text.lower())), F.lit(q)) for q, text in asked]
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return chunks.select(
+        "chunk_id",
+        F.regexp_count(low, F.lit(f"[{SIGNS}]+")).alias("length"),
+        F.filter(F.array(*tf), lambda x: x["tf"] > 0).alias("hits") if tf else none.alias("hits"),
+        F.filter(F.array(*whole), lambda x: x.isNotNull()).alias("whole") if whole else F.array().cast("array<string>").alias("whole"),
+    )
+
+
+def _joined(chunks: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """What _counted gives, for any number of queries: words meet terms, equal or by their beginnings, in an equi-join."""
+    token, size = F.col("token"), F.length("token")
+    starts = F.when(size > 4, F.concat(F.array(token), F.transform(F.sequence(F.lit(4), size - 1), lambda n: F.substring(token, F.lit(1), n)))).otherwise(F.array(token))
+    docs = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", words(F.col("text")).alias("tokens"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    found = docs.select("chunk_id", F.explode("tokens").alias("token")).select("chunk_id", F.explode(starts).alias("term"))
+    tf = found.join(terms.select("term").distinct(), "term").groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    held = tf.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("hits"))  # at most the terms
+    whole = docs.join(queries, F.contains("low", F.lower("text"))).groupBy("chunk_id").agg(F.collect_list("query").alias("whole"))
+    out = docs.select("chunk_id", F.size("tokens").alias("length")).join(held, "chunk_id", "left").join(whole, "chunk_id", "left")
+    return out.select("chunk_id", "length", F.coalesce("hits", F.array().cast("array<struct<term:string,tf:int>>")).alias("hits"), F.coalesce("whole", F.array().cast("array<string>")).alias("whole"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, chunk_id, score, place by BM25 with light prefix stemming.
 
-    chunks: chunk_id, text. queries: query, text. Where no chunk has a term, chunks that contain the query text
-    score 0.5. Statistics cover all chunks. Each text is cut into words once; words meet the terms of the queries,
-    equal or by their beginnings, in an equi-join that Spark broadcasts when the terms are few. No text is shuffled.
+    chunks: chunk_id, text; repeated rows count once. queries: query, text. A term of four letters or more also counts
+    words it begins. Where no chunk has a term of a query, chunks that contain its text score 0.5. Statistics cover all
+    chunks. Up to TERMS terms are counted in one pass over the texts, of which only counts are kept and written once;
+    more terms are joined with the words.
     """
     terms = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    docs = chunks.select("chunk_id", words(F.col("text")).alias("tokens"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    token = F.col("token")
-    starts = F.when(F.length(token) > 4, F.concat(F.array(token), F.transform(F.sequence(F.lit(4), F.length(token) - 1), lambda n: F.substring(token, F.lit(1), n)))).otherwise(F.array(token))
-    found = docs.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).select("chunk_id", "length", F.explode(starts).alias("term"))
-    hits = found.join(terms.select("term").distinct(), "term").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    listed = [r[0] for r in terms.select("term").distinct().limit(TERMS + 1).collect()]
+    stated = queries.select("query", "text").limit(TERMS + 1).collect()
+    if max(len(listed), len(stated)) <= TERMS:
+        counted = _counted(chunks, sorted(listed), [(r["query"], r["text"] or "") for r in stated])
+    else:
+        counted = _joined(chunks, queries, terms)
+    docs = written(counted.dropDuplicates(["chunk_id"]))
+    size = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    hits = docs.select("chunk_id", "length", F.inline("hits"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hits.join(df, "term").join(terms, "term").crossJoin(size).groupBy("query", "chunk_id").agg(F.sum(part).alias("score"))
-    plain = queries.join(scored.select("query").distinct(), "query", "left_anti").join(terms.select("query").distinct(), "query", "left_semi")
-    low = chunks.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    fallback = low.join(plain, F.contains("low", F.lower("text"))).select("query", "chunk_id", F.lit(0.5).alias("score"))
+    plain = terms.select("query").distinct().join(scored.select("query").distinct(), "query", "left_anti")
+    fallback = docs.select("chunk_id", F.explode("whole").alias("query")).join(plain, "query").select("query", "chunk_id", F.lit(0.5).alias("score"))
     return ranked(scored.where("score > 0").unionByName(fallback), k)
 
 

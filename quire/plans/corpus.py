@@ -50,15 +50,15 @@ def dense_topk(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    best = search.bm25(_chunks(spark, sf_dir, "chunk_id", "text"), _searches(spark), 20)
+    best = search.bm25(table(spark, sf_dir, "chunks", "chunk_id", "text"), _searches(spark), 20)
     return best.select("query", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def hybrid_search(spark, sf_dir):
     """The stated searches with a stated vector; chunks of a stated section number come first."""
-    chunks = _chunks(spark, sf_dir, "chunk_id", "section", "text", "vector")
+    chunks = table(spark, sf_dir, "chunks", "chunk_id", "section", "text", "vector")
     numbers = spark.createDataFrame(list(SECTIONS.items()), "query string, number string")
-    first = chunks.select("chunk_id", F.explode(dotted_numbers(F.col("section"))).alias("number")).join(numbers, "number").select("query", "chunk_id")
+    first = chunks.select("chunk_id", F.explode(dotted_numbers(F.col("section"))).alias("number")).join(numbers, "number").select("query", "chunk_id").distinct()
     asked = _searches(spark).withColumn("qvec", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.pmod(i * 37, F.lit(64)) / 64.0 - 0.5))
     return search.hybrid(chunks, asked, first)
 
