@@ -145,17 +145,39 @@ def coalesce_spans(spans: DataFrame, limits: DataFrame | None = None, *, bits: i
     """
     lo, hi = F.col("lo").cast("bigint"), F.col("hi").cast("bigint")
     valid = spans.select("entity", lo.alias("lo"), hi.alias("hi")).where("entity is not null and lo <= hi")
-    cut = valid.select("entity", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits))).alias("shard"))
-    base = F.shiftleft(F.col("shard"), bits)
-    cut = cut.select("entity", "shard", (F.greatest("lo", base) - base).alias("lo"), (F.least("hi", base + ((1 << bits) - 1)) - base).alias("hi"))
+    valid = valid.withColumns({"first": F.shiftright("lo", bits), "last": F.shiftright("hi", bits)})
+    base = lambda shard: F.shiftleft(shard, bits)
+    begin = F.struct(F.col("first").alias("shard"), F.col("lo").alias("lo"), F.least("hi", base(F.col("first")) + ((1 << bits) - 1)).alias("hi"))
+    end = F.struct(F.col("last").alias("shard"), base(F.col("last")).alias("lo"), F.col("hi").alias("hi"))
+    cut = valid.select("entity", F.inline(F.when(F.col("first") == F.col("last"), F.array(begin)).otherwise(F.array(begin, end))))
+    cut = cut.select("entity", "shard", (F.col("lo") - base(F.col("shard"))).alias("lo"), (F.col("hi") - base(F.col("shard"))).alias("hi"))
     parts = cut.mapInArrow(_partial(bits), _PART)
     parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     parts = parts.repartition("entity", "shard", "salt").sortWithinPartitions("entity", "shard").select("entity", "shard", "bits").mapInArrow(_unite(bits), _PART)
     runs = parts.repartition("entity", "shard").sortWithinPartitions("entity", "shard").mapInArrow(_extract(bits), _RUNS)
-    return _stitched(runs, limits)
+    periods, gaps = _stitched(runs)
+    long = valid.where(F.col("last") - F.col("first") > 1).select("entity", base(F.col("first") + 1).alias("lo"), (base(F.col("last")) - 1).alias("hi"))
+    if not long.isEmpty():  # shards that a span covers whole are one run, whatever their number
+        over = long.select("entity").distinct()
+        more, between = _swept(periods.join(over, "entity", "left_semi").select("entity", "lo", "hi").unionByName(long))
+        periods = periods.join(over, "entity", "left_anti").unionByName(more)
+        gaps = gaps.join(over, "entity", "left_anti").unionByName(between)
+    return periods.unionByName(gaps) if limits is None else _limited(periods, gaps, limits)
+
+
+def _swept(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(periods, gaps) of a few long spans per entity by a sweep in their order."""
+    along = Window.partitionBy("entity").orderBy("lo", "hi")
+    upto = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("before", upto)
+    new = F.col("before").isNull() | (F.col("lo") > F.col("before") + 1)
+    numbered = rows.withColumn("run", F.sum(new.cast("bigint")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    periods = numbered.groupBy("entity", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    gaps = rows.where("lo > before + 1").select("entity", F.lit("gap").alias("kind"), (F.col("before") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
+    return periods.select("entity", F.lit("period").alias("kind"), "lo", "hi"), gaps
 
 
-def _stitched(runs: DataFrame, limits: DataFrame | None) -> DataFrame:
+def _stitched(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     along = Window.partitionBy("entity").orderBy("lo")
     before = F.lag("hi").over(along)
     edges = runs.where("kind = 'edge'").select("entity", "lo", "hi", "inner", before.alias("before"))
@@ -164,12 +186,13 @@ def _stitched(runs: DataFrame, limits: DataFrame | None) -> DataFrame:
     periods = edges.groupBy("entity", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("entity", F.lit("period").alias("kind"), "lo", "hi")
     between = edges.where("lo > before + 1 and not inner").select("entity", F.lit("gap").alias("kind"), (F.col("before") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
     inside = runs.where("kind <> 'edge'").select("entity", "kind", "lo", "hi")
-    periods = periods.unionByName(inside.where("kind = 'period'"))
-    gaps = between.unionByName(inside.where("kind = 'gap'"))
-    if limits is None:
-        return periods.unionByName(gaps)
+    return periods.unionByName(inside.where("kind = 'period'")), between.unionByName(inside.where("kind = 'gap'"))
+
+
+def _limited(periods: DataFrame, gaps: DataFrame, limits: DataFrame) -> DataFrame:
+    """Periods, and the gaps within the limits of each entity."""
     limits = limits.where("entity is not null and first <= last").select("entity", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"))
-    ends = edges.groupBy("entity").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = periods.groupBy("entity").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     outer = limits.join(ends, "entity", "left").select(
         "entity",
         F.inline(

@@ -70,3 +70,11 @@ def test_ranges(spark):
     df = spark.createDataFrame(rows, "book_id string, page_range string, added_at int")
     got = {r["entity"]: (r["first"], r["last"]) for r in latest_range(df).collect()}
     assert got == {"a": (1, 4), "b": (None, None), "c": (None, None), "d": (None, None), "e": (None, None), "f": (12, 12), "g": (None, None)}
+
+
+def test_long_spans_are_not_cut_into_shards(spark):
+    year = 365 * 24 * 3600 * 1_000_000
+    rows = [("a", 5, year), ("a", year + 1, year + 9), ("a", year + 20, 3 * year), ("a", 100, 200), ("a", 2 * year, 2 * year + 5), ("b", 1, 2), ("c", -year, year), ("c", 3 * year, 3 * year)]
+    got = sorted((r["entity"], r["kind"], r["lo"], r["hi"]) for r in coalesce_spans(spark.createDataFrame(rows, "entity string, lo long, hi long")).collect())
+    assert got == [("a", "gap", year + 10, year + 19), ("a", "period", 5, year + 9), ("a", "period", year + 20, 3 * year), ("b", "period", 1, 2),
+                   ("c", "gap", year + 1, 3 * year - 1), ("c", "period", -year, year), ("c", "period", 3 * year, 3 * year)]
