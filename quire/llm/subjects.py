@@ -1,9 +1,10 @@
 """Subject areas of documents by class-association rules.
 
-A bounded labelled sample gives seed words. They label whole documents roughly; words counted against those
-labels over all documents give word evidence; it labels sentences, and parallel frequent-pattern growth over
-the labelled sentences of all documents mines the rules {words} -> subject. Redundant rules are pruned, the
-rest score every sentence, and a document has the subjects that hold at least a given share of its sentences.
+A bounded labelled sample gives seed words. They label whole documents roughly. Parallel pattern growth over the
+sentences of all documents then mines class-association rules {word} -> subject and, growing out of those,
+{word, word} -> subject, no longer ones. Rounds of it replace the seeds, redundant rules are pruned, the rest score
+every sentence, and a document has the subjects that hold at least a given share of its sentences. rounds=0 leaves
+the seeds alone, which find clearly less.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SAMPLE = 100_000
 #: A word needs this share of all words counted, a rule this share of all labelled sentences: both bound what is broadcast.
 WORD_SHARE, RULE_SHARE = 5e-7, 5e-5
 LEAST_LIFT, REDUNDANT, EVIDENCE = 1.6, 0.05, 1.0
-#: Largest share of documents with a seed word; least share, strength per sentence and words of evidence of a document's leading subject.
-COMMON, LEADS, STRENGTH, DISTINCT, ROUNDS = 0.3, 0.4, 1.5, 2, 3
+#: Largest share of documents with a seed word; least share, strength per sentence and words of evidence of a document's leading subject; rounds of mining, the last with pairs.
+COMMON, LEADS, STRENGTH, DISTINCT, ROUNDS = 0.3, 0.4, 1.5, 2, 2
 #: Share that its two main subjects must hold of a word's uses; of those in documents without leading subject, what exceeds the usual rate counts.
 PURE = 0.6
 #: Lift of the documents without leading subject from which a word speaks for none.
@@ -77,18 +78,22 @@ class Rules:
 
     def __init__(self, single: dict[str, dict[str, float]], double: dict[tuple[str, str], dict[str, float]] | None = None):
         self.single, self.double = single, double or {}
+        self.after: dict[str, dict[str, dict[str, float]]] = defaultdict(dict)
+        for (a, b), e in self.double.items():
+            self.after[a][b] = e
 
     def __call__(self, words: set[str]) -> dict[str, float]:
         known = sorted(w for w in words if w in self.single)
         score: dict[str, float] = defaultdict(float)
         used: set[str] = set()
-        if self.double:
+        if self.after:
             for k, a in enumerate(known):
-                for b in known[k + 1 :]:
-                    if (e := self.double.get((a, b))) is not None:
-                        used |= {a, b}
-                        for c, x in e.items():
-                            score[c] += 2 * x
+                if (further := self.after.get(a)) is not None:
+                    for b in known[k + 1 :]:
+                        if (e := further.get(b)) is not None:
+                            used |= {a, b}
+                            for c, x in e.items():
+                                score[c] += 2 * x
         for w in known:
             if w not in used:
                 for c, x in self.single[w].items():
@@ -169,65 +174,82 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _counted(batches, of)
 
 
-def _count_words(shared):
-    """Words by the subject that leads a whole document in evidence, '' where none does."""
+def leading(rules: Rules, parts: list) -> str:
+    """The subject that leads a whole document in evidence, '' where none does."""
+    total: Counter = Counter()
+    for p in parts:
+        total.update(rules(p))
+    c, x = total.most_common(1)[0] if total else ("", 0.0)
+    words = set().union(*parts, set())
+    if x < LEADS * sum(total.values()) or x < STRENGTH * len(parts) or sum(c in rules.single.get(w, ()) for w in words) < DISTINCT:
+        return ""
+    return c
+
+
+def _patterns(shared, pairs: bool):
+    """Partial counts of words by the subject that leads their document, and of pairs of ruled words in one sentence.
+
+    Words with a rule are the header of the growth; a pair is counted under its first word, so that patterns of two
+    words grow out of those of one and no longer ones are made.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = Rules(*shared.value)
 
         def of(parts, counts):
-            total: Counter = Counter()
-            for p in parts:
-                total.update(rules(p))
-            c, x = total.most_common(1)[0] if total else ("", 0.0)
-            words = set().union(*parts, set())
-            if x < LEADS * sum(total.values()) or x < STRENGTH * len(parts) or sum(c in rules.single.get(w, ()) for w in words) < DISTINCT:
-                c = ""  # no subject leads
+            c = leading(rules, parts)
             for p in parts:
                 counts.update((w, c) for w in p)
+                if pairs:
+                    known = sorted(w for w in p if w in rules.single)
+                    counts.update((f"{a}\t{b}", c) for k, a in enumerate(known) for b in known[k + 1 :])
 
         return _counted(batches, of)
 
     return run
 
 
-def reestimate(texts: DataFrame, rules: Rules, subjects: list[str]) -> Rules:
-    """Word evidence from counts over all documents, against the make-up of the word's own language."""
-    shared = texts.sparkSession.sparkContext.broadcast((rules.single,))
-    counted = written(texts.select("parts").mapInArrow(_count_words(shared), "word string, subject string, n bigint").groupBy("word", "subject").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    frequent = counted.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= max(3, WORD_SHARE * total))
+def mine(texts: DataFrame, rules: Rules, subjects: list[str], pairs: bool) -> Rules:
+    """Class-association rules {word} -> subject and, with pairs, {word, word} -> subject, from counts over all documents.
+
+    The class of a sentence is the subject that leads its document by the rules so far. A rule needs WORD_SHARE (of
+    two words: RULE_SHARE) of all counts and evidence against the make-up of its own language. A word that is common in
+    documents without a subject speaks for none. A two-word rule is redundant, and pruned, unless its confidence
+    differs by more than REDUNDANT from that of both its words.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((rules.single, rules.double))
+    counted = written(texts.select("parts").mapInArrow(_patterns(shared, pairs), "word string, subject string, n bigint").groupBy("word", "subject").agg(F.sum("n").alias("n")))
+    two = F.contains("word", F.lit("\t"))
+    total = counted.where(~two).agg(F.sum("n")).first()[0] or 0
+    least = F.when(two, F.greatest(F.lit(3.0), F.lit(RULE_SHARE * total))).otherwise(F.greatest(F.lit(3.0), F.lit(WORD_SHARE * total)))
+    frequent = counted.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("word")
     by: dict[str, Counter] = defaultdict(Counter)
     sizes: dict[str, Counter] = defaultdict(Counter)
     for r in counted.join(frequent, "word").toLocalIterator():
         by[r["word"]][r["subject"]] = r["n"]
-        sizes[r["word"][:3]][r["subject"]] += r["n"]
+        if "\t" not in r["word"]:
+            sizes[r["word"][:3]][r["subject"]] += r["n"]
     prior = {t: {c: (k[c] + 1) / (sum(k[x] for x in subjects) + len(subjects)) for c in subjects} for t, k in sizes.items()}
-    single = {}
-    for w, k in by.items():
-        held = sorted((k[c] for c in subjects), reverse=True)
-        idle = sizes[w[:3]][""] / sum(sizes[w[:3]].values())
-        if sum(held[:2]) >= PURE * (sum(held) + max(0.0, k[""] - idle * sum(k.values()))) and (e := evidence({c: k[c] for c in subjects}, prior[w[:3]])):
-            single[w] = e
-        elif (lift := (k[""] + idle) / (sum(k.values()) + 1) / max(idle, 1e-6)) >= IDLE_LIFT:
-            single[w] = {"": math.log(lift)}  # speaks for no subject, as the words of prefaces do
-    return Rules(single or rules.single)
-
-
-def _transactions(shared):
-    """Evidence words and subject of every sentence that word evidence labels."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(*shared.value)
-        for batch in batches:
-            rows = []
-            for parts in batch.column(0).to_pylist():
-                for p in parts:
-                    if c := best(rules(p)):
-                        rows.append(sorted(w for w in p if w in rules.single) + [f"={c}"])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["items"])
-
-    return run
+    rule = {w: e for w, k in by.items() if (e := _rule(k, sizes[w[:3]], prior[w[:3]], subjects))}
+    single, double = {w: e for w, e in rule.items() if "\t" not in w}, {}
+    for w, e in rule.items():
+        if "\t" in w:
+            a, b = w.split("\t")
+            top = max(e, key=e.get)
+            share = lambda x: by[x][top] / max(1, sum(by[x].values()))  # noqa: B023, E731
+            if all(abs(share(w) - share(x)) > REDUNDANT for x in (a, b)):
+                double[a, b] = e
+    return Rules(single, double) if single else rules
+
+
+def _rule(k: Counter, size: Counter, prior: dict[str, float], subjects: list[str]) -> dict[str, float]:
+    """Evidence of a pattern with counts k by subject; size holds those of all words of its language."""
+    held = sorted((k[c] for c in subjects), reverse=True)
+    idle = size[""] / max(1, sum(size.values()))
+    if sum(held[:2]) >= PURE * (sum(held) + max(0.0, k[""] - idle * sum(k.values()))) and (e := evidence({c: k[c] for c in subjects}, prior)):
+        return e
+    lift = (k[""] + idle) / (sum(k.values()) + 1) / max(idle, 1e-6)
+    return {"": math.log(lift)} if lift >= IDLE_LIFT else {}  # speaks for no subject, as the words of prefaces do
 
 
 def _assign(shared, share: float):
@@ -246,36 +268,8 @@ def _assign(shared, share: float):
     return run
 
 
-def mine(transactions: DataFrame, known: Rules, least: float = RULE_SHARE) -> tuple[dict, dict]:
-    """Rules of one and two words by parallel frequent-pattern growth, redundant ones pruned.
-
-    A two-word rule stays only where its confidence differs from that of both its words by more than REDUNDANT.
-    A word too rare for a rule keeps its counted evidence. The least share bounds the number of rules.
-    """
-    from pyspark.ml.fpm import FPGrowth
-
-    found = FPGrowth(itemsCol="items", minSupport=least).fit(transactions).freqItemsets
-    found = found.where("size(items) <= 3 and exists(items, x -> x like '=%')")
-    by: dict[tuple, Counter] = defaultdict(Counter)
-    for r in found.toLocalIterator():
-        words = tuple(sorted(w for w in r["items"] if w[0] != "="))
-        by[words][next(w for w in r["items"] if w[0] == "=")[1:]] += r["freq"]
-    total = by.pop((), Counter())
-    prior = {c: n / sum(total.values()) for c, n in total.items()}
-    conf = {w: {c: x / sum(k.values()) for c, x in k.items()} for w, k in by.items()}
-    single = known.single | {w[0]: e for w, k in by.items() if len(w) == 1 and (e := evidence(k, prior))}
-    double = {}
-    for w, k in by.items():
-        if len(w) == 2:
-            top = max(conf[w], key=conf[w].get)
-            if all(abs(conf[w][top] - conf.get((x,), {}).get(top, 0.0)) > REDUNDANT for x in w) and (e := evidence(k, prior)):
-                double[w] = e
-    return single, double
-
-
-def subject_rules(texts: DataFrame, samples: DataFrame) -> tuple[dict, dict]:
+def subject_rules(texts: DataFrame, samples: DataFrame, rounds: int = ROUNDS) -> tuple[dict, dict]:
     """Fit the rules: texts has `parts`, the evidence words of each sentence; samples has sample_id, subject, text."""
-    context = texts.sparkSession.sparkContext
     labelled = samples.where("subject is not null and text is not null").orderBy("sample_id", "subject", "text").limit(SAMPLE)
     labelled = [(r["subject"], r["text"]) for r in labelled.select("subject", "text").toLocalIterator()]
     subjects = sorted({c for c, _ in labelled})
@@ -289,15 +283,12 @@ def subject_rules(texts: DataFrame, samples: DataFrame) -> tuple[dict, dict]:
         r["word"]: r["n"] / docs[r["word"][:3]] for r in counted.join(texts.sparkSession.createDataFrame([(w,) for w in wanted], "word string"), "word").toLocalIterator()
     }
     rules = seed_rules(labelled, spread)
-    for _ in range(ROUNDS):
-        rules = reestimate(texts, rules, subjects)
-    transactions = written(texts.select("parts").mapInArrow(_transactions(context.broadcast((rules.single,))), "items array<string>"))
-    if transactions.isEmpty():
-        return rules.single, {}
-    return mine(transactions, rules)
+    for turn in range(rounds):
+        rules = mine(texts, rules, subjects, pairs=turn == rounds - 1)
+    return rules.single, rules.double
 
 
-def document_subjects(docs: DataFrame, samples: DataFrame, *, share: float = 0.25) -> DataFrame:
+def document_subjects(docs: DataFrame, samples: DataFrame, *, share: float = 0.25, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, subject, sentences, of: every subject that at least `share` of the sentences of a text belong to.
 
     docs: doc_id, text. samples: sample_id, subject, text, of which at most SAMPLE rows are used for the seeds;
@@ -307,5 +298,5 @@ def document_subjects(docs: DataFrame, samples: DataFrame, *, share: float = 0.2
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts = written(rows.mapInArrow(_prepare, "doc_id bigint, parts array<array<string>>"))
-    shared = docs.sparkSession.sparkContext.broadcast(subject_rules(texts, samples))
+    shared = docs.sparkSession.sparkContext.broadcast(subject_rules(texts, samples, rounds))
     return texts.mapInArrow(_assign(shared, share), "doc_id bigint, subject string, sentences int, of int").distinct()

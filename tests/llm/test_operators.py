@@ -270,6 +270,7 @@ def test_packing(spark):
         assert max(used.values()) <= capacity
         assert {i: sum(n for _, n in p) for i, p in parts.items()} == {i: n for i, n in rows if i is not None and n}
         assert all(len(p) == -(-n // capacity) for i, p in parts.items() for k, n in rows if k == i)
+        assert sum(used.values()) >= 0.9 * capacity * len(used)
         assert sum(used.values()) / (len(used) * capacity) > 0.93
     assert sorted((r["first"], r["tokens"]) for r in got if r["ident"] == 9000 and r["name"] == "a") == [(0, 100), (100, 100), (200, 50)]
     assert pack(df.limit(0), {"a": 10}).count() == 0
@@ -334,3 +335,9 @@ def test_subjects(spark):
     assert right >= 0.9 * len(want) and len(got) <= 1.15 * len(want)
     assert len({(r["doc_id"], r["subject"]) for r in got}) == len(got)
     assert document_subjects(both.limit(0), samples).count() == 0 and document_subjects(docs.limit(9), samples.limit(0)).count() == 0
+
+
+def test_mined_rules_find_what_the_seeds_do_not(spark):
+    docs, samples = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.01/subject_samples.parquet")
+    mined, seeds = ({(r["doc_id"], r["subject"]) for r in document_subjects(docs, samples, rounds=n).collect()} for n in (2, 0))
+    assert len(seeds & mined) < 0.98 * len(mined) and len(seeds - mined) > 0.02 * len(seeds)
