@@ -13,6 +13,8 @@ from quire.session import written
 
 OPEN = 64
 FAN_IN = 32
+#: Share of open containers that a round of merging must free for another one.
+LITTLE = 0.02
 
 _PLACED = "name string, container string, done boolean, ident bigint, part int, first bigint, tokens bigint"
 _ARROW = pa.schema([("name", pa.string()), ("container", pa.string()), ("done", pa.bool_()), ("ident", pa.int64()), ("part", pa.int32()), ("first", pa.int64()), ("tokens", pa.int64())])
@@ -107,8 +109,9 @@ def pack(items: DataFrame, capacities: dict[str, int], *, open_windows: int = OP
     items: ident bigint, tokens bigint, one row per item; null or non-positive sizes have no row in the result.
     Only an item over the capacity is divided: into parts of the capacity and a rest, `first` being the offset
     of the part. Every partition keeps `open_windows` containers open, places best-fit, and closes the fullest
-    when an item fits nowhere. What is open at the end of the partitions is merged, `fan_in` partitions at a
-    time, until one partition is left; the merged containers number at most open_windows * fan_in at a time.
+    when an item fits nowhere. What is open at the end of the partitions is merged in rounds: containers are drawn
+    anew into tasks of about open_windows * fan_in of each capacity, which join them best-fit, until a round frees
+    less than LITTLE of them or one task holds all. So no task grows with the data.
     Rows may repeat only if the caller's ids do. An empty table gives an empty result.
     """
     if any(c < 1 for c in capacities.values()):
@@ -116,19 +119,19 @@ def pack(items: DataFrame, capacities: dict[str, int], *, open_windows: int = OP
     rows = items.select(F.col("ident").cast("bigint").alias("ident"), F.col("tokens").cast("bigint").alias("tokens")).where("ident is not null and tokens > 0")
     placed = written(rows.mapInArrow(_pack(sorted(capacities.items()), open_windows, "p"), _PLACED))
     left = placed.where("not done").groupBy("name", "container").agg(F.sum("tokens").alias("used"))
-    final, room = None, max(2, open_windows * fan_in * len(capacities))
-    parts = left.count()
+    final, room, turn = None, max(2, open_windows * fan_in * len(capacities)), 0
+    many = left.count()
     while True:
-        parts = max(1, -(-parts // room))
-        merged = left.repartition(parts, F.xxhash64("container")).sortWithinPartitions(F.desc("used"), "container").mapInArrow(_merge(capacities), _MERGED)
+        parts = max(1, -(-many // room))
+        merged = left.repartition(parts, F.xxhash64("container", F.lit(turn))).sortWithinPartitions(F.desc("used"), "container").mapInArrow(_merge(capacities), _MERGED)
         merged = written(merged)
         final = merged.select("name", "container", "into") if final is None else (
             final.join(merged.select("name", F.col("container").alias("into"), F.col("into").alias("next")), ["name", "into"]).select("name", "container", F.col("next").alias("into"))
         )
-        if parts == 1:
-            break
-        room = fan_in
         left = merged.groupBy("name", "into").agg(F.sum("used").alias("used")).select("name", F.col("into").alias("container"), "used")
+        before, many, turn = many, left.count(), turn + 1
+        if parts == 1 or many > (1 - LITTLE) * before:
+            break
     columns = ["name", "container", "ident", "part", "first", "tokens"]
     moved = placed.where("not done").join(final, ["name", "container"]).withColumn("container", F.col("into"))  # closed ones stay where they are
     return placed.where("done").select(*columns).unionByName(moved.select(*columns))

@@ -134,7 +134,7 @@ def split_oversized(records: DataFrame, books: DataFrame, profiles: DataFrame) -
     Sizes are computed by built-in expressions; only texts over the least limit of all profiles are joined with
     their book, and only oversized ones reach Python. Grouping by record spreads a book with many rows.
     """
-    sizes = {r["name"]: r for r in profiles.select("name", "max_tokens", "target_tokens", "overlap_tokens").dropDuplicates(["name"]).limit(10_000).collect()}
+    sizes = {r["name"]: r for r in profiles.select("name", "max_tokens", "target_tokens", "overlap_tokens").dropDuplicates(["name"]).collect()}  # a small table of settings
     if "default" not in sizes:
         raise ValueError("profiles needs a row named 'default'")
     usual, least = sizes["default"], min(r["max_tokens"] for r in sizes.values())
