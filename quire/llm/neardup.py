@@ -28,6 +28,8 @@ from quire.session import written
 
 #: Slots of the count table (a power of two), bits of a bitmap in words of 64, postings of a token in one cell, pairs at a time.
 SLOT_BITS, WORDS, HEAVY, CHUNK = 21, 4, 20_000, 1 << 20
+#: Tokens of the texts for each part.
+TOKENS = 4_000_000
 #: Leaves under a token from which a product of bit matrices is cheaper than pairs one by one.
 DENSE = 24
 
@@ -73,12 +75,12 @@ def _sketch(size: int, bits: int):
     """Token counts of a partition, as compressed blocks of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
+        table = np.zeros(1 << bits, np.uint64)
         for batch in batches:
             parts = [shingles(t, size) for t in batch.column(0).to_pylist()]
             if parts:
                 slots = (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
-                table += np.bincount(slots, minlength=1 << bits).astype(np.uint32)
+                table += np.bincount(slots, minlength=1 << bits).astype(np.uint64)
         if table.any():
             blocks = table.reshape(64, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], names=["block", "counts"])
@@ -90,7 +92,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = np.frombuffer(zlib.decompress(data), np.uint32)
+            counts = np.frombuffer(zlib.decompress(data), np.uint64)
             total[block] = total[block] + counts if block in total else counts
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in total.values()], pa.binary())], names=["block", "counts"])
@@ -100,9 +102,9 @@ def token_counts(texts: DataFrame, size: int, bits: int = SLOT_BITS) -> np.ndarr
     """The table of counts over all texts; its size is fixed, so it may be sent to the driver and broadcast."""
     kind = "block int, counts binary"
     parts = texts.mapInArrow(_sketch(size, bits), kind)
-    out = np.zeros((64, (1 << bits) // 64), np.uint32)
+    out = np.zeros((64, (1 << bits) // 64), np.uint64)
     for r in parts.repartition(16, "block").mapInArrow(_add, kind).toLocalIterator():
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     return out.ravel()
 
 
@@ -405,8 +407,9 @@ def near_copies(texts: DataFrame, *, size: int = 5, threshold: float = 0.8, part
     spark = texts.sparkSession
     context = spark.sparkContext
     rows = texts.select(F.col("ident").cast("string").alias("ident"), F.col("text").cast("string").alias("text")).where("ident is not null and text is not null")
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = context.broadcast(token_counts(rows.select("text"), size))
+    table = token_counts(rows.select("text"), size)
+    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(table.sum()) // TOKENS))
+    counts = context.broadcast(table)
     blocks = rows.select("text").mapInArrow(_pack(size, threshold, counts, part_keys(texts, parts), heavy), "key bigint, data binary")
     found = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search(threshold), "a bigint, b bigint")
     pairs = written(found.distinct())
