@@ -64,7 +64,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar other chunks of every chunk."""
-    return _close_chunks(spark, sf_dir, keep=30, show=20, rounds=6, refine=12, recall=0.92).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
+    return _close_chunks(spark, sf_dir, trees=12, leaf=1024, keep=24, show=16, rounds=3, refine=12, recall=0.9, part=24_576).select(F.col("ident").alias("chunk_id"), "place", F.col("other").alias("near_id"), "similarity")
 
 
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
