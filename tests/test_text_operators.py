@@ -136,6 +136,17 @@ def test_accumulate_twice(spark, tmp_path):
         assert accumulate(spark, str(tmp_path / "in"), "t", str(tmp_path / "out"), str(tmp_path / "state"), ["k"]).count() == 2
 
 
+def test_accumulate_table_in_a_folder(spark, tmp_path):
+    from quire.streaming.accumulate import accumulate
+
+    source = str(tmp_path / "in" / "t.parquet")
+    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string").repartition(3).write.parquet(source)
+    load = lambda: sorted(tuple(r) for r in accumulate(spark, str(tmp_path / "in"), "t", str(tmp_path / "out"), str(tmp_path / "state"), ["k"]).collect())
+    assert load() == load() == [(1, "a"), (2, "b")]
+    spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string").repartition(2).write.mode("append").parquet(source)
+    assert load() == [(1, "a"), (2, "b"), (3, "c")]
+
+
 def test_leading_digits_stay(spark):
     rows = planning.split_plans(spark.createDataFrame([("p", "[Task 1: explain]\n012.6 x\n110 y")], "plan_id string, plan string")).collect()
     assert rows[0]["input"] == "012.6 x\n110 y"
