@@ -181,6 +181,38 @@ def test_rounds_find_what_the_trees_do_not(spark):
     assert log[0] < 0.6 and log[-1] >= 0.9 and log == sorted(log)
 
 
+def test_rounds_in_turns_of_many_parts(spark):
+    x = np.random.default_rng(4).standard_normal((3000, 16))
+    df = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "ident string, vector array<double>")
+    log = []
+    neighbour_graph(df, dim=16, keep=16, leaf=60, trees=2, rounds=4, part=200, asked=1500, log=log)
+    assert log[0] < 0.8 and log[-1] >= 0.95 and log == sorted(log)
+
+
+def test_a_part_takes_many_updates_in_little_memory():
+    import tracemalloc
+
+    from quire.llm import neighbours as nb
+
+    rng = np.random.default_rng(6)
+    n, keep, blocks = 4096, 20, 60
+    blank = (np.full((n, keep), nb.NONE), np.zeros((n, keep), np.uint16), np.zeros((n, keep), np.uint8))
+    at = np.repeat(np.arange(n, dtype=np.uint32), 15)
+    told = [(at, other := rng.integers(0, 3000, 15 * n).astype(np.uint64), (at * 31 + other * 7919).astype(np.uint16)) for _ in range(blocks)]
+    state, met = nb._blocks([(0, 0, nb._pack(*blank))]), nb._blocks([(0, k, nb._pack(*x)) for k, x in enumerate(told)])
+    tracemalloc.start()
+    ((_, _, data),) = nb._improved(0, 13, keep)(0, state, met)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    other, sim, fresh = nb._unpack(data)
+    entries = list(zip(*(np.concatenate(x) for x in zip(*told))))
+    for node in (0, n - 1):
+        best = {int(b): int(s) for a, b, s in entries if a == node}
+        assert sim[node].tolist() == sorted(best.values(), reverse=True)[:keep] and fresh[node].all()
+        assert [best[int(b)] for b in other[node]] == sim[node].tolist()
+    assert peak < 45 * blocks * 15 * n  # bytes of each update; all at once took more than twice as many
+
+
 def test_search_reaches_every_cluster(spark):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.standard_normal((60, 16)), 40, axis=0) + 0.05 * rng.standard_normal((2400, 16))
