@@ -33,37 +33,65 @@ TOKENS = 4_000_000
 #: Leaves under a token from which a product of bit matrices is cheaper than pairs one by one.
 DENSE = 24
 
-_WORD = re.compile("[0-9a-z가-힣]+")
+#: Words and the ends of texts; characters of texts read at a time.
+_WORD, _END, READ = re.compile("[0-9a-z가-힣]+|\x00"), "\x00", 1 << 20
 _P1, _P2, _P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_known: dict[str, int] = {}
 
 
-def _word_hashes(text: str) -> np.ndarray:
-    words = _WORD.findall(text.lower())
-    try:
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_known) > 1_000_000:
-            _known.clear()
-        for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+class _Known(dict):
+    """Hashes of words; that of the end of a text is 0."""
 
+    def __missing__(self, word: str) -> int:
+        found = self[word] = 0 if word == _END else xxhash.xxh64_intdigest(word) or 1
+        return found
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of `size` words; empty when there are fewer words."""
-    w = _word_hashes(text or "")
-    n = len(w) - size + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+
+_known = _Known()
+
+
+def _read(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_known) > 1_000_000:
+        _known.clear()
+    words = _WORD.findall(_END.join(t.replace(_END, " ") if _END in t else t for t in texts).lower())
+    w = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    n = max(0, len(w) - size + 1)
+    h, good, ends = np.zeros(n, np.uint64), np.ones(n, bool), w == 0
     for k in range(size):
         h = (h * _P1) ^ (w[k : k + n] * _P2)
         h ^= h >> np.uint64(31)
+        good &= ~ends[k : k + n]
     h *= _P3
     h ^= h >> np.uint64(29)
-    return np.unique(h)
+    h, owner = h[good], np.cumsum(ends)[:n][good]
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        h[a:b].sort()
+    once = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]
+    return h[once], np.bincount(owner[once], minlength=len(texts))
+
+
+def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of all runs of `size` words, one after the other, and their numbers (0 with fewer words)."""
+    read, held, long = [], [], 0
+    for k, text in enumerate(texts):
+        held.append(text or "")
+        long += len(held[-1])
+        if long >= READ or k + 1 == len(texts):
+            read.append(_read(held, size))
+            held, long = [], 0
+    every, sizes = zip(*read) if read else ([np.empty(0, np.uint64)], [np.empty(0, np.int64)])
+    return np.concatenate(every), np.concatenate(sizes)
+
+
+def _each(texts: list[str | None], size: int) -> list[np.ndarray]:
+    every, sizes = shingle_sets(texts, size)
+    ends = np.cumsum(sizes)
+    return [every[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all runs of `size` words; empty when there are fewer words."""
+    return shingle_sets([text], size)[0]
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -77,10 +105,8 @@ def _sketch(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint64)
         for batch in batches:
-            parts = [shingles(t, size) for t in batch.column(0).to_pylist()]
-            if parts:
-                slots = (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
-                table += np.bincount(slots, minlength=1 << bits).astype(np.uint64)
+            every, _ = shingle_sets(batch.column(0).to_pylist(), size)
+            table += np.bincount((every >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint64)
         if table.any():
             blocks = table.reshape(64, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], names=["block", "counts"])
@@ -134,8 +160,7 @@ def _pack(size: int, t: float, shared, keys: list[int], most: int = HEAVY):
         shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
         for batch in batches:
             seen: dict[int, np.ndarray] = {}
-            for text in batch.column(0).to_pylist():
-                h = shingles(text, size)
+            for h in _each(batch.column(0).to_pylist(), size):
                 if len(h):
                     seen.setdefault(node_of(h), h)
             if not seen:
@@ -154,7 +179,7 @@ def _pack(size: int, t: float, shared, keys: list[int], most: int = HEAVY):
             sets = list(seen.values())
             finer = [{k: bitmap(sets[k], words) for k in np.flatnonzero(sizes > least).tolist()} for least, words in FINER]
             count = counts[(every >> shift).astype(np.int64)]
-            order = np.lexsort((every, count, owner))
+            order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | np.minimum(count, np.uint64(2**40 - 1)), kind="stable")  # each set is in order of its hashes
             rank = np.arange(len(every)) - np.repeat(starts, sizes)
             posted, indexed = (np.repeat(np.array(x), sizes) for x in zip(*(prefix(n, t) for n in sizes.tolist())))
             keep = (rank < posted) & (count[order] > 1)  # a token counted once has no partner
@@ -379,8 +404,7 @@ def _members(size: int, shared):
         bloom, mask = shared.value, (1 << BLOOM_BITS) - 1
         for batch in batches:
             rows = []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = shingles(text, size)
+            for ident, h in zip(batch.column(0).to_pylist(), _each(batch.column(1).to_pylist(), size)):
                 if len(h):
                     node = node_of(h)
                     rows.append((ident, node, h.view(np.int64).tolist() if bloom[(node & mask) >> 3] >> (node & 7) & 1 else None))

@@ -277,6 +277,22 @@ def test_near_copies_empty(spark):
     assert pairs_of(members, links).count() == 0 and groups(members, links).count() == 0
 
 
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    from quire.llm import neardup as nd
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "B2", "가나", "ΣΑ", "x-y", "\x00", "İ"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", "a", "a b", "a b c", "a\x00b\x00c", "\x00", "a b c " * 500, "c"]
+    monkeypatch.setattr(nd, "READ", 500)
+    for size in (1, 3):
+        every, sizes = nd.shingle_sets(texts, size)
+        assert np.array_equal(np.concatenate([nd.shingles(t, size) for t in texts]), every)
+        for text, h in zip(texts, np.split(every, np.cumsum(sizes)[:-1])):
+            words = re.findall("[0-9a-z가-힣]+", (text or "").lower())
+            assert len(h) == len({tuple(words[k : k + size]) for k in range(len(words) - size + 1)}) and (np.diff(h.astype(object)) > 0).all()
+    assert [len(x) for x in nd.shingle_sets([], 3)] == [0, 0]
+
+
 # 7: top n
 def test_top_n(spark):
     nan, inf = float("nan"), float("inf")
